@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import scratch, table
 
 N_SHARDS = 40
 
@@ -19,8 +19,31 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.simhash import near_groups
+
+    out = near_groups(table(spark, sf_dir, "documents"), words=4, k=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm import warc
+
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    read = warc.read_archives(spark, manifest).filter("reason is null")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), folds=3, held=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard}
+    return {
+        "op1_shard": op1_shard, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op10_language": op10_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
