@@ -19,6 +19,18 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.toxicity import score_tables
+
+    return score_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.simhash import near_groups
 
@@ -42,7 +54,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_shard": op1_shard, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op10_language": op10_language,
+        "op1_shard": op1_shard, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity,
+        "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op10_language": op10_language,
     }
 
 
