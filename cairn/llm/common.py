@@ -7,13 +7,34 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, once a session; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    made = tempfile.mkdtemp(prefix="cairn-ship-")
+    atexit.register(shutil.rmtree, made, True)
+    with zipfile.ZipFile(f"{made}/cairn.zip", "w") as z:
+        for p in root.rglob("*.py"):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(f"{made}/cairn.zip")
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ from cairn.llm import common
 
 SAMPLE = 20_000  # labelled rows used for induction and fitting, at most
 LEXICON = 4_000  # induced entries of each kind, at most
-MIN_TOXIC_DOCS = 4
+MIN_TOXIC_SHARE = 0.002  # of the toxic sample texts that must hold an entry; three texts at least
 STARTS = (4, 5, 6)
 SEEDS = frozenset(
     "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting vermin filth filthy bastard bitch dumb dumbass "
@@ -52,7 +52,7 @@ def induce(sample: DataFrame) -> dict[str, frozenset]:
     if not n1 or not n0:
         return {}
     units = sample.select("toxic", F.explode(_units("text")).alias("e"))
-    pos = units.filter("toxic = 1").groupBy("e").agg(F.count(F.lit(1)).alias("p")).filter(F.col("p") >= MIN_TOXIC_DOCS)
+    pos = units.filter("toxic = 1").groupBy("e").agg(F.count(F.lit(1)).alias("p")).filter(F.col("p") >= max(3.0, MIN_TOXIC_SHARE * n1))
     neg = units.filter("toxic = 0").join(pos.select("e"), "e", "left_semi").groupBy("e").agg(F.count(F.lit(1)).alias("q"))
     both = pos.join(neg, "e", "left").fillna(0, ["q"])
     odds = F.log((F.col("p") + 0.1) / (n1 + 0.2)) - F.log((F.col("q") + 0.5) / (n0 + 1.0))
@@ -72,6 +72,7 @@ class Memo(dict):
     def __init__(self, lex: dict[str, frozenset]) -> None:
         super().__init__()
         self.lex = lex
+        self.has = [bool(lex.get(k)) for k in ("w", *map(str, STARTS))]
 
     def __missing__(self, w: str) -> int:
         lex = self.lex
@@ -92,55 +93,82 @@ def measure(text: str | None, memo: Memo) -> tuple[tuple[int, ...], np.ndarray]:
     n = len(words)
     counts = [sum(m >> k & 1 for m in hits) for k in range(5)]
     rate = [100.0 * c / n if n else 0.0 for c in counts]
+    has = memo.has  # a lexicon without entries abstains
     votes = (
         1 if counts[0] >= 2 else 0,
         1 if rate[0] >= 0.5 else (-1 if counts[0] == 1 and n > 1000 else 0),
-        1 if counts[1] >= 2 else (0 if counts[1] else -1),
-        *(1 if c >= 2 else (0 if c else -1) for c in counts[2:5]),
-        1 if rate[1] >= 0.3 else (-1 if not counts[1] else 0),
+        (1 if counts[1] >= 2 else (0 if counts[1] else -1)) if has[0] else 0,
+        *((1 if c >= 2 else (0 if c else -1)) if h else 0 for c, h in zip(counts[2:5], has[1:])),
+        ((1 if rate[1] >= 0.3 and counts[1] >= 2 else 0) if counts[1] else -1) if has[0] else 0,
     )
     x = np.array([*np.log1p(counts), *np.log1p(rate), float(bool(counts[1])), float(any(counts[2:])), float(counts[1] >= 2), np.log1p(n)])
     return votes, x
 
 
 # ---------------------------------------------------------------- label model
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60) -> dict:
-    """EM over vote patterns (rows of -1, 0, 1) with their counts.
+ANCHOR = 50.0  # weight, in texts per class, of the labelled sample in each voter's accuracies
 
-    accuracy[v, class, vote + 1]: P(vote | class). correlation[v, w]: weighted partial correlation of the votes given the
-    class; a voter counts 1 / (1 + sum of its correlations with the others), and the accuracies are fitted again.
+
+def _shares(votes: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """P(vote) per voter under weights w, with base as pseudo-counts [voters, 3]."""
+    got = np.array([np.bincount(votes[:, v] + 1, weights=w, minlength=3) for v in range(votes.shape[1])]) + base
+    return got / got.sum(axis=1, keepdims=True)
+
+
+def _logit(patterns: np.ndarray, theta: np.ndarray, corr: np.ndarray, pi: float) -> np.ndarray:
+    """Log-odds of toxic. A voter that abstains says nothing; one that votes is discounted by the voters it votes with."""
+    out = np.full(len(patterns), np.log(pi / (1 - pi)))
+    voting = (patterns != 0).astype(float)
+    weight = 1 / (1 + voting @ corr)
+    for v in range(patterns.shape[1]):
+        x = patterns[:, v]
+        out += np.where(x != 0, weight[:, v] * np.log(theta[v, 1, x + 1] / theta[v, 0, x + 1]), 0.0)
+    return np.clip(out, -50, 50)
+
+
+def _correlations(patterns: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """What two voters share given the class, over the texts on which both vote."""
+    m = patterns.shape[1]
+    corr = np.zeros((m, m))
+    for u in range(m):
+        for v in range(u):
+            both = (patterns[:, u] != 0) & (patterns[:, v] != 0)
+            x, y = patterns[both, u].astype(float), patterns[both, v].astype(float)
+            cov = vx = vy = 0.0
+            for w in weights:
+                k = w[both]
+                if k.sum() > 0:
+                    dx, dy = x - k @ x / k.sum(), y - k @ y / k.sum()
+                    cov, vx, vy = cov + k @ (dx * dy), vx + k @ (dx * dx), vy + k @ (dy * dy)
+            same = (x == y).all() and both.any()  # two voters that never differ are one
+            corr[u, v] = corr[v, u] = 1.0 if same else max(0.0, cov / np.sqrt(vx * vy)) if vx > 0 and vy > 0 else 0.0
+    return corr
+
+
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, truth: np.ndarray, rounds: int = 60) -> dict:
+    """EM over vote patterns (rows of -1, 0, 1) of the corpus with their counts.
+
+    known, truth: votes and labels of the labelled sample; they start the fit and stay in it as pseudo-counts.
+    theta[v, class, vote + 1]: P(vote | class). correlation[v, w]: what the votes share given the class; a voter counts
+    1 / (1 + sum of its correlations with the others that vote).
     """
     m = patterns.shape[1]
-    theta = np.empty((m, 2, 3))
-    theta[:, 0], theta[:, 1] = (0.5, 0.4, 0.1), (0.1, 0.3, 0.6)
-    weight = np.ones(m)
+    pi = float(np.clip(truth.mean(), 1e-3, 0.5))
+    base = np.stack([ANCHOR * _shares(known, (truth == c).astype(float), np.full((m, 3), 1 / 3)) for c in (0, 1)], axis=1)
+    theta = base / base.sum(axis=2, keepdims=True)
     corr = np.zeros((m, m))
-    pi = float(np.clip(prior, 1e-3, 0.5))
-    at = patterns + 1
     for r in range(rounds):
-        logit = np.log(pi / (1 - pi)) + sum(weight[v] * np.log(theta[v, 1, at[:, v]] / theta[v, 0, at[:, v]]) for v in range(m))
-        post = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
-        for c, w in ((0, counts * (1 - post)), (1, counts * post)):
-            for v in range(m):
-                theta[v, c] = (np.bincount(at[:, v], weights=w, minlength=3) + 0.5) / (w.sum() + 1.5)
-        if r % 10 == 9:  # correlations left given the class
-            cov = np.zeros((m, m))
-            for w in (counts * (1 - post), counts * post):
-                if w.sum() > 0:
-                    d = patterns - (w @ patterns) / w.sum()
-                    cov += (d * w[:, None]).T @ d / counts.sum()
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + corr.sum(axis=1))
-    return {"theta": theta, "weight": weight, "pi": pi, "correlation": corr}
+        post = 1 / (1 + np.exp(-_logit(patterns, theta, corr, pi)))
+        by_class = [counts * (1 - post), counts * post]
+        for c in (0, 1):
+            theta[:, c] = _shares(patterns, by_class[c], base[:, c])
+        if r % 10 == 9:
+            corr = _correlations(patterns, by_class)
+    return {"theta": theta, "correlation": corr, "pi": pi}
 
 
 def posterior(patterns: np.ndarray, lm: dict) -> np.ndarray:
-    at = patterns + 1
-    th, m = lm["theta"], patterns.shape[1]
-    logit = np.log(lm["pi"] / (1 - lm["pi"])) + sum(lm["weight"][v] * np.log(th[v, 1, at[:, v]] / th[v, 0, at[:, v]]) for v in range(m))
-    return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+    return 1 / (1 + np.exp(-_logit(patterns, lm["theta"], lm["correlation"], lm["pi"])))
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> dict:
@@ -200,9 +228,10 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict |
 
     rows = lab.mapInArrow(features, "v array<int>, x array<double>, toxic int").collect()  # at most `sample` rows
     y = np.array([r["toxic"] for r in rows])
-    lm = fit_label_model(np.array([r["v"] for r in counted]), np.array([float(r["n"]) for r in counted]), float(y.mean()))
+    known = np.array([r["v"] for r in rows])
+    lm = fit_label_model(np.array([r["v"] for r in counted]), np.array([float(r["n"]) for r in counted]), known, y)
     x = np.array([r["x"] for r in rows])
-    soft = posterior(np.array([r["v"] for r in rows]), lm)
+    soft = posterior(known, lm)
     return {"lex": lex, "label_model": lm, "linear": fit_linear(x, soft)}
 
 
