@@ -46,6 +46,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit_forest(secret_scan.builtin_findings(spark)))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.langid import identify
 
@@ -55,7 +61,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard": op1_shard, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity,
-        "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op10_language": op10_language,
+        "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_secrets": op8_secrets,
+        "op10_language": op10_language,
     }
 
 
