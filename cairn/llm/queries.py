@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import scratch, table
 
 N_SHARDS = 40
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.simhash import near_groups
 
@@ -61,7 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard": op1_shard, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity,
-        "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_secrets": op8_secrets,
+        "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_secrets": op8_secrets,
         "op10_language": op10_language,
     }
 
