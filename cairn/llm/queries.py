@@ -45,6 +45,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm import warc
 
@@ -59,6 +65,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit_forest(secret_scan.builtin_findings(spark)))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.neighbours import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.langid import identify
 
@@ -68,7 +80,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard": op1_shard, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity,
-        "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op7_warc": op7_warc, "op8_secrets": op8_secrets,
+        "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_main_text": op6_main_text, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_neighbours": op9_neighbours,
         "op10_language": op10_language,
     }
 
