@@ -86,9 +86,14 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def build(fps: np.ndarray, bucket: np.ndarray) -> list[dict]:
-    """Levels of the index over runs of equal bucket, each sorted by Gray rank; level 0 are the fingerprints."""
+def build(fps: np.ndarray, bucket: np.ndarray, tag: np.ndarray | None = None) -> list[dict]:
+    """Levels of the index over runs of equal bucket, each sorted by Gray rank; level 0 are the fingerprints.
+
+    tag: where all members of a node have one tag, the node has it too, and pairs within one tag are not searched.
+    """
     levels = [{"value": fps, "mask": np.full(len(fps), _ONES), "bucket": bucket}]
+    if tag is not None:
+        levels[0] |= {"tag": tag, "one": np.ones(len(fps), dtype=bool)}
     while True:
         low = levels[-1]
         b = low["bucket"]
@@ -103,7 +108,11 @@ def build(fps: np.ndarray, bucket: np.ndarray) -> list[dict]:
         ones = np.bitwise_and.reduceat(low["value"] | ~low["mask"], start)
         any_ = np.bitwise_or.reduceat(low["value"] & low["mask"], start)
         mask = same & ~(ones ^ any_)
-        levels.append({"value": ones & mask, "mask": mask, "bucket": b[start], "start": np.append(start, len(b))})
+        up = {"value": ones & mask, "mask": mask, "bucket": b[start], "start": np.append(start, len(b))}
+        if tag is not None:
+            same_tag = np.minimum.reduceat(low["tag"], start) == np.maximum.reduceat(low["tag"], start)
+            up |= {"tag": low["tag"][start], "one": same_tag & np.logical_and.reduceat(low["one"], start)}
+        levels.append(up)
 
 
 def search(levels: list[dict], k: int):
@@ -130,45 +139,54 @@ def search(levels: list[dict], k: int):
         x, y = x[keep], y[keep]
         both = low["mask"][x] & low["mask"][y]
         near = np.bitwise_count((low["value"][x] ^ low["value"][y]) & both) <= k
+        if "tag" in low:
+            near &= ~(low["one"][x] & low["one"][y] & (low["tag"][x] == low["tag"][y]))
         if near.any():
             stack.append((lv - 1, x[near], y[near]))
 
 
 def _bucketed(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """t, key, c1, c2, c, fp in runs sorted by Gray rank; a bucket over HOT_BUCKET is split in chunks, met two by two."""
+    """t, key, c1, c2, c, fp (, id, tag) in runs sorted by Gray rank; a bucket over HOT_BUCKET is split in chunks, met two by two."""
     n_parts = common.parts(fps.sparkSession)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"))
+    own = [c for c in ("fp", "id", "tag") if c in fps.columns]
+    keyed = fps.select(*own, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"))
     big = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_BUCKET)
     big = big.select("t", "key", F.ceil(F.col("n") / HOT_BUCKET).cast("int").alias("m"))
     row = keyed.join(big, ["t", "key"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    row = row.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    row = row.withColumn("c", F.pmod(F.xxhash64(own[1] if len(own) > 1 else "fp"), F.col("m")).cast("int"))
     row = row.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    row = row.select("t", "key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "fp")
+    row = row.select("t", "key", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", *own)
     return row.repartition(n_parts, "t", "key", "c1", "c2").sortWithinPartitions("t", "key", "c1", "c2", gray_rank(F.col("fp")))
 
 
 def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool = False) -> DataFrame:
-    """u, v: pairs of distinct fingerprints of column fp within k bits, each pair once (u < v as unsigned numbers).
+    """u, v: pairs of rows whose fingerprints (column fp) lie within k bits, each pair once, u < v.
 
+    Rows are named by column id, or by fp itself; rows of equal column tag, where there is one, make no pair.
     Without masks the result is exact. With own masks, pairs that agree on none are not found.
     spanning: instead of all pairs, fewer links that connect the same.
     """
     masks = masks or block_masks(k)
     m64 = np.array(masks, dtype=np.uint64)
-
-    def emit(cols: list[np.ndarray]):
-        t, key, c1, c2, c, fp = cols
+    names = ["t", "key", "c1", "c2", "c", *(c for c in ("fp", "id", "tag") if c in fps.columns)]
+    named, tagged = "id" in fps.columns, "tag" in fps.columns
+
+    def emit(cols: dict[str, np.ndarray]):
+        t, key, c1, c2, c = (cols[n] for n in names[:5])
+        fp = cols["fp"].view(np.uint64)
+        ids = cols["id"] if named else fp
+        tag = cols["tag"] if tagged else None
         new = np.zeros(len(t), dtype=np.int64)
         new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
-        bucket = np.cumsum(new)
         us, vs, held = [], [], 0
-        for i, j in search(build(fp, bucket), k):
-            cross = (c1[i] == c2[i]) | (c[i] != c[j])
+        for i, j in search(build(fp, np.cumsum(new), tag), k):
             x = fp[i] ^ fp[j]
             first = np.argmax((x[:, None] & m64[None, :]) == 0, axis=1)  # a pair counts in the first table that has it
-            ok = cross & (first == t[i])
-            us.append(np.minimum(fp[i], fp[j])[ok])
-            vs.append(np.maximum(fp[i], fp[j])[ok])
+            ok = (first == t[i]) & ((c1[i] == c2[i]) | (c[i] != c[j]))
+            if tagged:
+                ok &= tag[i] != tag[j]
+            us.append(np.minimum(ids[i], ids[j])[ok])
+            vs.append(np.maximum(ids[i], ids[j])[ok])
             held += int(ok.sum())
             if held > 1 << 18:
                 yield from flush(us, vs)
@@ -186,10 +204,8 @@ def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool
         held: list[list[np.ndarray]] = []
         rows = 0
         for b in batches:
-            cols = [b.column(n).to_numpy(zero_copy_only=False) for n in ("t", "key", "c1", "c2", "c", "fp")]
-            cols[5] = cols[5].view(np.uint64)
-            held.append(cols)
-            rows += len(cols[0])
+            held.append([b.column(n).to_numpy(zero_copy_only=False) for n in names])
+            rows += b.num_rows
             if rows < 200_000:
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
@@ -197,10 +213,10 @@ def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool
             last = (t == t[-1]) & (key == key[-1]) & (c1 == c1[-1]) & (c2 == c2[-1])
             at = int(np.argmax(last))  # the last bucket may go on in the next batch
             if at:
-                yield from emit([x[:at] for x in cols])
+                yield from emit(dict(zip(names, (x[:at] for x in cols))))
             held, rows = [[x[at:] for x in cols]], len(t) - at
         if rows:
-            yield from emit([np.concatenate(x) for x in zip(*held)])
+            yield from emit(dict(zip(names, (np.concatenate(x) for x in zip(*held)))))
 
     return _bucketed(fps, masks).mapInArrow(run, "u bigint, v bigint")
 
@@ -229,3 +245,129 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     low = member.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("c"))
     linked = member.join(low, "root").select("fp", "c")
     return nodes.join(linked, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id"))
+
+
+# ---------------------------------------------------------------- removal of near-duplicates
+FEATURE_WORDS = 2  # words per SimHash feature of dedup()
+DEDUP_BITS = 12
+PLANE_MASKS, MASK_BITS = 14, 18
+
+
+def plane_masks(plane: int) -> list[int]:
+    """PLANE_MASKS patterns of MASK_BITS of the 64 bits, spread evenly and the same everywhere."""
+    rng = np.random.default_rng([64, plane])
+    out: list[int] = []
+    pool: list[int] = []
+    for _ in range(PLANE_MASKS):
+        bits: set[int] = set()
+        while len(bits) < MASK_BITS:
+            if not pool:
+                pool = rng.permutation(64).tolist()
+            bits.add(pool.pop())
+        out.append(sum(1 << b for b in bits))
+    return out
+
+
+def _sketch(batches):
+    """__row, id, key (of the exact word sequence), fp0 and fp1 per text."""
+    for b in batches:
+        key, fps = [], ([], [])
+        for t in b.column("__text").to_pylist():
+            key.append(xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split()) if t else b""))
+            blocks = list(shingle_hashes(t, FEATURE_WORDS))
+            fps[0].append(fold(blocks))
+            fps[1].append(fold([common.mix64(h, 9) for h in blocks]))
+        cols = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps]
+        yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("id"), pa.array(key, pa.string()), *cols], names=["__row", "id", "key", "fp0", "fp1"])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number that names the row on every reading: from its place in its file, else from a written copy."""
+    place = ("_metadata.file_path", "_metadata.row_index")
+    try:
+        return docs.select("*", F.xxhash64(*place).alias("__row"))
+    except Exception as e:  # no file source
+        if "_metadata" not in str(e):
+            raise
+        return common.cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+SIEVE_BITS = 23
+
+
+def sieve(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with __maybe: false where __row is surely not among keys(__row). A bitmap of 2^SIEVE_BITS bits is broadcast."""
+    place = F.pmod(F.xxhash64("__row", F.lit(77)), F.lit(1 << SIEVE_BITS))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits"))
+    words = common.cut(words, "sieve")  # at most 2^(SIEVE_BITS - 6) rows of 16 bytes, 2 MB
+    out = rows.withColumn("__p", place).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(words), "__word", "left")
+    return out.withColumn("__maybe", F.coalesce(F.expr("(shiftright(__bits, cast(__p & 63 as int)) & 1) = 1"), F.lit(False))).drop("__p", "__word", "__bits")
+
+
+def _sets(rows: DataFrame, words: int, text_col: str) -> DataFrame:
+    """node, s: the distinct shingle hashes of rows that a candidate pair may need."""
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for t in b.column("__text").to_pylist():
+                blocks = list(shingle_hashes(t, words))
+                got.append(np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(0, dtype=np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
+            flat = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "s"])
+
+    return rows.select("__row", F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, "node long, s array<long>")
+
+
+def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """The pairs (u, v) of rows whose sets of word shingles have at least that Jaccard similarity."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("__row")).distinct()
+    need = sieve(rows, ends).filter("__maybe")  # only texts that stand in a pair are hashed and moved
+    sets = _sets(need, words, text_col)
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    n = F.size(F.array_intersect("su", "sv"))
+    return both.filter(n >= similarity * (F.size("su") + F.size("sv") - n) - 1e-9).select("u", "v")
+
+
+def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the least id (rows without an id last).
+
+    Rows are linked when their sets of `words`-word shingles have at least that Jaccard similarity; groups are transitive.
+    Two SimHash planes over word pairs (a changed word changes two of them, not five) give the candidates: equal on one of
+    the plane's masks and within DEDUP_BITS bits, a probabilistic step whose recall at the threshold is about 0.98; each
+    candidate is then verified exactly. First only links that span each cluster of candidates are verified; pairs
+    across the groups found so far follow, so a dense group is not expanded into all of its pairs.
+    Texts without a word are copies of each other. Repeated rows count as copies. All columns are kept.
+    """
+    rows = numbered(docs)
+    sketch = rows.select("__row", F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("__text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    flat = common.cut(sketch.mapInArrow(_sketch, f"__row long, id {kind}, key string, fp0 long, fp1 long"), "sketch")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row"))
+    nodes = flat.groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"))
+    nodes = common.cut(nodes.withColumn("node", F.col("rep.__row")), "sketch-nodes")
+    found = None
+    tags = nodes.select("node", F.col("node").alias("tag"))
+    for spanning in (True, False):
+        pairs = None
+        for plane in (0, 1):
+            part = nodes.join(tags, "node").select(F.col(f"fp{plane}").alias("fp"), F.col("node").alias("id"), "tag")
+            got = links(part, DEDUP_BITS, plane_masks(plane), spanning=spanning)
+            pairs = got if pairs is None else pairs.unionByName(got)
+        pairs = common.cut(pairs.distinct(), "pairs")
+        sure = common.cut(verified(rows, pairs, words, similarity, text_col), "verified")
+        found = sure if found is None else found.unionByName(sure)
+        comp = components(found)
+        tags = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("tag"))
+    group = nodes.join(tags, "node").select("key", "rep", "tag", "n")
+    best = group.groupBy("tag").agg(F.min("rep").alias("best"))
+    keep = common.cut(group.join(best, "tag").select("key", F.col("best.__row").alias("keep"), "n"), "keep")
+    total = keep.agg(F.sum("n")).first()[0] or 0
+    hot = [r["key"] for r in keep.filter((F.col("n") > total / 1000) & (F.col("n") > 20_000)).select("key").collect()]  # under 1000
+    gone = common.salted_join(flat.select("key", "__row"), keep.select("key", "keep"), "key", hot, "inner").filter(F.col("__row") != F.col("keep"))
+    gone = common.cut(gone.select("__row"), "gone")
+    marked = sieve(rows, gone)
+    doubtful = marked.filter("__maybe").join(gone, "__row", "left_anti")
+    return marked.filter("not __maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
