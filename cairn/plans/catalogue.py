@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import retrieval
+from cairn.plans import graphs, retrieval
 
-QUERIES: dict = {**retrieval.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **graphs.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES}

@@ -116,9 +116,9 @@ def graph_term_rank(spark, sf):
 
 BM = ["the", "ones", "thre"]
 BM25 = """t AS (SELECT doc_id, list_filter(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM documents),
-  c AS (SELECT doc_id, len(t) AS len, """ + ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(BM)) + """ FROM t),
-  st AS (SELECT count(*) AS n, avg(len) AS al, """ + ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(BM))) + """ FROM c),
-  b AS (SELECT cast(doc_id AS varchar) AS target_id, round(""" + " + ".join(f"ln(1 + (n - df{i} + 0.5::double) / (df{i} + 0.5::double)) * tf{i} * 2.2::double / (tf{i} + 1.2::double * (0.25::double + 0.75::double * len / al))" for i in range(len(BM))) + """, 9) AS s FROM c, st WHERE tf0 + tf1 + tf2 > 0),
+  bc AS (SELECT doc_id, len(t) AS len, """ + ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(BM)) + """ FROM t),
+  st AS (SELECT count(*) AS n, avg(len) AS al, """ + ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(BM))) + """ FROM bc),
+  b AS (SELECT cast(doc_id AS varchar) AS target_id, round(""" + " + ".join(f"ln(1 + (n - df{i} + 0.5::double) / (df{i} + 0.5::double)) * tf{i} * 2.2::double / (tf{i} + 1.2::double * (0.25::double + 0.75::double * len / al))" for i in range(len(BM))) + """, 9) AS s FROM bc, st WHERE tf0 + tf1 + tf2 > 0),
   lex AS (SELECT 'lexical' AS lane, row_number() OVER (ORDER BY s DESC, target_id) AS lane_rank, 'chunk' AS target_type, target_id, '' AS content, s AS raw_score FROM b QUALIFY lane_rank <= 20)"""
 
 
