@@ -181,7 +181,8 @@ def betweenness(edges: DataFrame) -> DataFrame:
                         delta[v] += sigma[v] * m / sigma[w] * (1 + delta[w])
                     if w != s:
                         total[w] += delta[w]
-        yield pd.DataFrame({"id": list(total), "score": list(total.values())})
+        if total:
+            yield pd.DataFrame({"id": list(total), "score": list(total.values())})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = nodes(edges)
