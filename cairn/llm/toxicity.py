@@ -33,13 +33,29 @@ N_FEATURES = 14
 
 
 # ---------------------------------------------------------------- lexicon induction
-def _units(col: str) -> F.Column:
+def _units(text: str | None) -> set[str]:
     """Distinct words and word starts of a text as kind:entry."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"(?U)[\p{L}]+"), 0))
-    kinds = [F.transform(words, lambda w: F.concat(F.lit("w:"), w))]
-    for n in STARTS:
-        kinds.append(F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit(f"{n}:"), F.substring(w, 1, n))))
-    return F.array_distinct(F.concat(*kinds))
+    words = set(_WORD.findall(text.lower())) if text else set()
+    return {f"w:{w}" for w in words} | {f"{n}:{w[:n]}" for n in STARTS for w in words if len(w) > n}
+
+
+def _count_units(batches):
+    """e, p, q: partial numbers of toxic and clean texts that hold an entry; given out before they fill the memory."""
+    seen: dict[str, list[int]] = {}
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], names=["e", "p", "q"])
+        seen.clear()
+        return out
+
+    for b in batches:
+        for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+            for e in _units(text):
+                seen.setdefault(e, [0, 0])[0 if toxic else 1] += 1
+        if len(seen) > 200_000:
+            yield flush()
+    if seen:
+        yield flush()
 
 
 def induce(sample: DataFrame) -> dict[str, frozenset]:
@@ -51,13 +67,11 @@ def induce(sample: DataFrame) -> dict[str, frozenset]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return {}
-    units = sample.select("toxic", F.explode(_units("text")).alias("e"))
-    pos = units.filter("toxic = 1").groupBy("e").agg(F.count(F.lit(1)).alias("p")).filter(F.col("p") >= max(3.0, MIN_TOXIC_SHARE * n1))
-    neg = units.filter("toxic = 0").join(pos.select("e"), "e", "left_semi").groupBy("e").agg(F.count(F.lit(1)).alias("q"))
-    both = pos.join(neg, "e", "left").fillna(0, ["q"])
+    counted = sample.select("text", "toxic").mapInArrow(_count_units, "e string, p long, q long").groupBy("e").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    both = counted.filter(F.col("p") >= max(3.0, MIN_TOXIC_SHARE * n1))
     odds = F.log((F.col("p") + 0.1) / (n1 + 0.2)) - F.log((F.col("q") + 0.5) / (n0 + 1.0))
     z = odds / F.sqrt(1 / (F.col("p") + 0.1) + 1 / (F.col("q") + 0.5))
-    scored = both.withColumn("odds", odds).withColumn("z", z).filter("odds > 3.0 and z > 2.0")
+    scored = common.cut(both.withColumn("odds", odds).withColumn("z", z).filter("odds > 3.0 and z > 2.0"), "lexicon")
     out: dict[str, frozenset] = {}
     for kind in ("w", *map(str, STARTS)):
         rows = scored.filter(F.col("e").startswith(f"{kind}:")).orderBy(F.desc("z"), "e").limit(LEXICON).collect()
@@ -80,7 +94,7 @@ class Memo(dict):
         for k, n in enumerate(STARTS):
             if len(w) > n and w[:n] in lex.get(str(n), ()):
                 m |= 4 << k
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = m
         return m
@@ -200,7 +214,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict |
     None if the labels don't hold both classes.
     """
     spark = docs.sparkSession
-    lab = common.cut(labelled.filter("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), "order").orderBy("order").limit(sample).select("text", "toxic"), "toxic-sample")
+    lab = common.cut(labelled.filter("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), "order").orderBy("order").limit(sample).select("text", "toxic").repartition(common.parts(spark)), "toxic-sample")
     lex = induce(lab)
     if not lex:
         return None
