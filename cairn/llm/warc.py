@@ -8,6 +8,7 @@ after a failed check looks for the next member or version line that does parse;
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
 MAX_HEAD = 1 << 16
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 # ---------------------------------------------------------------- records
@@ -63,7 +65,7 @@ class Damaged(Exception):
 
 def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower-case names) and block of exactly one record, or Damaged."""
-    if not data.startswith(b"WARC/1."):
+    if not _VERSION.match(data):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", 0, MAX_HEAD)
     if end < 0:
@@ -143,7 +145,7 @@ def _member(w: _Window) -> tuple[bytes, int]:
 def _plain(w: _Window) -> tuple[bytes, int]:
     """The bytes of the uncompressed record at the window's start, or Damaged."""
     w.need(MAX_HEAD)
-    if not w.buf.startswith(b"WARC/1."):
+    if not _VERSION.match(w.buf):
         raise Damaged("no version line")
     end = w.buf.find(b"\r\n\r\n", 0, MAX_HEAD)
     if end < 0:
