@@ -1,0 +1,52 @@
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.llm import secret_scan as S
+
+HEX = "0123456789abcdef"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return S.fit_forest(S.builtin_findings(spark, 2000))
+
+
+def hexs(seed, n=40):
+    import hashlib
+
+    return hashlib.sha256(str(seed).encode()).hexdigest()[:n]
+
+
+def test_finds_and_places(spark, docs_of, forest):
+    texts = [f'some text token = "{hexs(1)}" and more {"x" * 5}', f"commit {hexs(2)} fixed it", "card 4111111111111111 is no key", f"a\n\npassword: hunter2Xy!9 then token = \"{hexs(3)}\" end"]
+    got = S.scan(docs_of(texts), forest).collect()
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length]) for r in got if r.is_secret}
+    assert (0, hexs(1)) in found and (3, hexs(3)) in found
+    assert not any(d in (1, 2) for d, _ in found)
+    seen = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length]) for r in got}
+    assert (1, hexs(2)) in seen and (2, "4111111111111111") in seen
+
+
+def test_redact(spark, docs_of, forest):
+    texts = [f'x token = "{hexs(i)}" y' for i in range(3)] + ["plain", None, ""]
+    got = {r.doc_id: r for r in S.redact(docs_of(texts), forest).collect()}
+    assert got[0].text == 'x token = "[SECRET]" y' and got[0].n_chars == len(got[0].text)
+    assert got[3].text == "plain" and got[4].text is None and got[5].text == ""
+
+
+def test_training_rows_are_told_apart(spark, forest):
+    rows = S.builtin_findings(spark, 2000).withColumn("doc_id", F.monotonically_increasing_id())
+    got = S.scan(rows, forest).join(rows, "doc_id").agg(F.avg((F.col("is_secret") == (F.col("label") == 1)).cast("int"))).first()[0]
+    assert got > 0.97
+
+
+def test_odd(spark, docs_of, odd, forest):
+    df = docs_of(odd + ["k=" * 30_000, "a1" * 40_000], ids=[None] * 10).withColumn("score", F.lit("clash")).withColumn("start", F.lit(0)).withColumn("i", F.lit(0)).withColumn("c", F.lit(0))
+    assert S.scan(df, forest).count() >= 1
+    assert S.redact(df, forest).count() == 10 and S.redact(df, forest).columns == df.columns
+    assert S.scan(docs_of([]), forest).count() == 0
+
+
+def test_no_python_in_the_plan(spark, docs_of, forest):
+    plan = S.scan(docs_of(["token = abcdefgh123"]), forest)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
