@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import graphs, memory, retrieval
+from cairn.plans import code, graphs, memory, retrieval
 
-QUERIES: dict = {**retrieval.QUERIES, **graphs.QUERIES, **memory.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES, **memory.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **graphs.QUERIES, **memory.QUERIES, **code.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES, **memory.ORACLES, **code.ORACLES}

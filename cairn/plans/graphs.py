@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.operators import graph
-from cairn.sources.domain import call_edges, entities, epoch, table, views
+from cairn.sources.domain import call_edges, entities, table, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -203,5 +203,3 @@ def symbol_directional(spark, sf):
     k = F.col("p_partkey")
     return graph.directional(p.filter(k % 10 != 0).select(k.alias("id"), F.col("p_brand").alias("hash")), p.filter(k % 9 != 0).select(k.alias("id"), F.when(k % 6 == 0, "x").otherwise(F.col("p_brand")).alias("hash")))
 
-
-__all__ = ["epoch"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
 from cairn.operators import filters, fusion, lanes
-from cairn.sources.domain import NOW, call_edges, chunks, entities, memories, table, views
+from cairn.sources.domain import NOW, chunks, entities, memories, table, views
 
 Q = "the ones"
 QUERIES: dict = {}
@@ -105,9 +105,6 @@ def _terms_sql(words: list[str], col: str) -> str:
     return " + ".join(f"CASE WHEN lower({col}) = '{w}' THEN 3 WHEN starts_with(lower({col}), '{w}') OR ends_with(lower({col}), '{w}') THEN 2 WHEN contains(lower({col}), '{w}') THEN 1 ELSE 0 END" for w in words)
 
 
-PART_QUERY = "part 12"
-
-
 @query("graph_term_rank", views("entities") + f""" SELECT 'graph' AS lane, row_number() OVER (ORDER BY s DESC, id) AS lane_rank, 'entity' AS target_type, id AS target_id, name AS content, s::double AS raw_score
   FROM (SELECT *, {_terms_sql(C.graph_terms('part red blue'), 'name')} AS s FROM entities) WHERE s > 0 QUALIFY lane_rank <= 20""")
 def graph_term_rank(spark, sf):
@@ -250,5 +247,3 @@ def mmr_rerank(spark, sf):
     v = vectors(spark, sf).filter("cast(id as int) < 60").select(F.lit("q").alias("query"), F.col("id").alias("target_id"), (1 / (1 + C.l2(F.col("embedding"), F.array(*map(F.lit, QVEC))))).alias("score"), "embedding")
     return fusion.mmr(v, 0.5, 20)
 
-
-__all__ = ["QUERIES", "ORACLES", "call_edges"]
