@@ -52,6 +52,8 @@ _BAD = frozenset(
     "recommendations replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 _BAD_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+_ENDS = ("navbar", "topnav", "sidenav", "subnav", "mainnav", "sitenav", "menu", "footer", "sidebar", "adbox")
+_STARTS = ("advert", "breadcrumb", "cookie", "newsletter", "sidebar", "sponsor")
 _PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -73,7 +75,9 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
                 if tag == "article":
                     if "comment" in got or "comments" in got:
                         return True
-                elif not _BAD.isdisjoint(got) or "sidebar" in word or word.startswith("advert") or (not inside and "header" in got):
+                elif not _BAD.isdisjoint(got) or (not inside and "header" in got):
+                    return True
+                elif any(g.endswith(_ENDS) or g.startswith(_STARTS) for g in got):
                     return True
     return False
 
