@@ -6,8 +6,6 @@ its size checked first; scoring gathers and adds its columns per batch of texts
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +18,6 @@ BUCKET_BITS = 15
 ORDERS = (2, 3, 4)
 MAX_MODEL_BYTES = 256 << 20
 CHUNK = 1 << 20  # code points hashed at once: bounds memory for very long texts
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _fold_table() -> np.ndarray:
@@ -126,7 +123,7 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BUC
 
 def score_text(text: str | None, model: dict, by_bucket: np.ndarray) -> tuple[str, float]:
     """The best language and its posterior; by_bucket is logp transposed, float32."""
-    if not text or not model["langs"] or not _LETTER.search(text):
+    if not text or not model["langs"] or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0
     total = model["prior"].copy()
     for g in _window_grams(text, model["orders"], model["bits"]):
