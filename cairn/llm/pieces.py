@@ -24,7 +24,7 @@ from cairn.llm import common
 
 SPACE = "▁"
 VARIANTS = 3
-CACHE = 800_000  # chunks a worker remembers
+CACHE = 250_000  # chunks a worker remembers
 LONG = 64  # longer chunks are merged one by one on a heap
 _CHUNK = re.compile(r" *[^ ]+| +")
 
@@ -296,7 +296,7 @@ class Encoder:
 
     def __init__(self, m: Pieces, rate: float, seed: int, variants: int = VARIANTS) -> None:
         self.m, self.variants = m, variants if rate > 0 else 1
-        self.limit = int(min(max(rate, 0.0), 1.0) * (2**64 - 1))
+        self.limit = min(int(min(max(rate, 0.0), 1.0) * 2**64), 2**64 - 1)
         self.keys = common.mix64(np.arange(self.variants, dtype=np.uint64) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(1000003), 1)
         self.forget()
 
