@@ -11,16 +11,20 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Give the package to the executors' Python, once a session; they need not have it installed."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) is None:  # texts can be long: batches are bounded by bytes too
+        spark.conf.set(BATCH, str(8 << 20))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent.parent
@@ -137,3 +141,25 @@ def fs_move(a: str, b: str) -> None:
     f, pa_ = fs.FileSystem.from_uri(a)
     _, pb = fs.FileSystem.from_uri(b)
     f.move(pa_, pb)
+
+
+def by_key(batches, keys: tuple[str, ...]):
+    """Runs of rows with equal keys from sorted batches: (first row's keys, list of record batches)."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.ones(b.num_rows, dtype=bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        at = np.append(np.flatnonzero(new), b.num_rows)
+        for s, e in zip(at, at[1:]):
+            key = tuple(c[s] for c in cols)
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(b.slice(s, e - s))
+    if held:
+        yield now, held

@@ -54,28 +54,6 @@ def _unit(col: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _by_key(batches, keys: tuple[str, ...]):
-    """Runs of rows with equal keys from sorted batches: (first row's keys, list of record batches)."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.ones(b.num_rows, dtype=bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-        at = np.append(np.flatnonzero(new), b.num_rows)
-        for s, e in zip(at, at[1:]):
-            key = tuple(c[s] for c in cols)
-            if key != now and held:
-                yield now, held
-                held = []
-            now = key
-            held.append(b.slice(s, e - s))
-    if held:
-        yield now, held
-
-
 EDGE = "u long, v long, sim double"
 
 
@@ -115,7 +93,7 @@ def leaves(nodes: DataFrame, seed: int, k: int = K) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names=["t", "grp", "leaf", "node", "vec"])
 
     def best(batches):
-        for _, held in _by_key(batches, ("t", "grp", "leaf")):
+        for _, held in common.by_key(batches, ("t", "grp", "leaf")):
             part = pa.Table.from_batches(held).combine_chunks()
             for at in range(0, part.num_rows, CHUNK):
                 b = part.slice(at, CHUNK).combine_chunks().to_batches()[0]
@@ -145,7 +123,7 @@ def improve(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def join(batches):
         us, vs, ss, n = [], [], [], 0
-        for _, held in _by_key(batches, ("u",)):
+        for _, held in common.by_key(batches, ("u",)):
             b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             if b.num_rows < 2:
                 continue
@@ -208,7 +186,7 @@ def count_links(member: DataFrame, threshold: float) -> DataFrame:
     laid = row.repartition(common.parts(member.sparkSession), "comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "b")
 
     def count(batches):
-        for (_, b1, b2), held in _by_key(batches, ("comp", "b1", "b2")):
+        for (_, b1, b2), held in common.by_key(batches, ("comp", "b1", "b2")):
             b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             x, w, node = _unit(b.column("vec"), b.num_rows), b.column("w").to_numpy(), b.column("node").to_numpy()
             if b1 == b2:
