@@ -208,13 +208,14 @@ def linear_score(x: np.ndarray, lin: dict) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- Spark
-def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Model from docs(text) and labelled(text, toxic, order): the `sample` labelled rows lowest in `order` are used.
+def train(docs: DataFrame, labelled: DataFrame) -> dict | None:
+    """Model from docs(text) and labelled(text, toxic), a sample that the caller has bounded.
 
     None if the labels don't hold both classes.
     """
     spark = docs.sparkSession
-    lab = common.cut(labelled.filter("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), "order").orderBy("order").limit(sample).select("text", "toxic").repartition(common.parts(spark)), "toxic-sample")
+    lab = labelled.filter("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
+    lab = common.cut(lab.repartition(common.parts(spark)), "toxic-sample")
     lex = induce(lab)
     if not lex:
         return None
@@ -240,7 +241,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict |
                 [pa.array([list(v) for v, _ in got], pa.list_(pa.int32())), pa.array([list(x) for _, x in got], pa.list_(pa.float64())), b.column("toxic")], names=["v", "x", "toxic"]
             )
 
-    rows = lab.mapInArrow(features, "v array<int>, x array<double>, toxic int").collect()  # at most `sample` rows
+    rows = lab.mapInArrow(features, "v array<int>, x array<double>, toxic int").collect()  # at most SAMPLE rows
     y = np.array([r["toxic"] for r in rows])
     known = np.array([r["v"] for r in rows])
     lm = fit_label_model(np.array([r["v"] for r in counted]), np.array([float(r["n"]) for r in counted]), known, y)
@@ -285,11 +286,11 @@ def keep_clean(docs: DataFrame, model: dict | None, threshold: float, text_col:
 def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> dict | None:
     """Train on labels outside the held-out fold (crc32 of the id as text, mod folds); votes come from all docs."""
     lab = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(common.crc_mod("doc_id", folds) != held)
-    order = F.xxhash64(F.col("doc_id"), F.lit(3))
-    # only ids are ranked; a few spare ones stand in for labels without a document
-    ids = lab.dropDuplicates(["doc_id"]).withColumn("order", order).orderBy("order").limit(2 * SAMPLE)
+    # the SAMPLE ids lowest in hash: only ids are ranked, texts are not gathered in one place
+    ids = lab.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", "text").filter("text is not null")
-    return train(docs, texts.join(F.broadcast(ids), "doc_id").select("text", "toxic", "order"))
+    rows = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # a repeated id counts once
+    return train(docs, rows.select("text", "toxic"))
 
 
 def score_tables(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
