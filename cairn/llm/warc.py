@@ -102,16 +102,16 @@ def payload_of(block: bytes) -> bytes:
 
 # ---------------------------------------------------------------- salvage reader
 class _Window:
-    """A forward view of a stream: bytes from `at` on, read as needed."""
+    """A forward view of a stream: bytes from `at` on, read as needed. What was passed is dropped a read block at a time."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.buf, self.at, self.ended = stream, b"", 0, False
+        self.stream, self.buf, self.pos, self.at, self.ended = stream, b"", 0, 0, False
 
     def need(self, n: int) -> bool:
         """Whether at least n bytes are there."""
-        if len(self.buf) < n and not self.ended:
-            got = [self.buf]
-            have = len(self.buf)
+        if len(self.buf) - self.pos < n and not self.ended:
+            got = [self.buf[self.pos :]]
+            have = len(got[0])
             while have < n:
                 more = self.stream.read(max(_READ, n - have))
                 if not more:
@@ -119,11 +119,22 @@ class _Window:
                     break
                 got.append(bytes(more))
                 have += len(more)
-            self.buf = b"".join(got)
-        return len(self.buf) >= n
+            self.buf, self.pos = b"".join(got), 0
+        return len(self.buf) - self.pos >= n
+
+    def take(self, start: int, end: int) -> bytes:
+        """Bytes start to end from here, as far as they were read."""
+        return self.buf[self.pos + start : self.pos + end]
+
+    def find(self, what: bytes, end: int | None = None) -> int:
+        k = self.buf.find(what, self.pos, None if end is None else self.pos + end)
+        return k - self.pos if k >= 0 else -1
+
+    def left(self) -> int:
+        return len(self.buf) - self.pos
 
     def skip(self, n: int) -> None:
-        self.buf, self.at = self.buf[n:], self.at + n
+        self.pos, self.at = self.pos + n, self.at + n
 
 
 def _member(w: _Window) -> tuple[bytes, int]:
@@ -134,7 +145,7 @@ def _member(w: _Window) -> tuple[bytes, int]:
         while not d.eof:
             if not w.need(used + 1):
                 raise Damaged("member is cut off")
-            part = w.buf[used : used + _READ]
+            part = w.take(used, used + (1 << 16))
             out.append(d.decompress(part))
             used += len(part) - len(d.unused_data)
     except zlib.error as e:
@@ -145,13 +156,13 @@ def _member(w: _Window) -> tuple[bytes, int]:
 def _plain(w: _Window) -> tuple[bytes, int]:
     """The bytes of the uncompressed record at the window's start, or Damaged."""
     w.need(MAX_HEAD)
-    if not _VERSION.match(w.buf):
+    if not _VERSION.match(w.take(0, 16)):
         raise Damaged("no version line")
-    end = w.buf.find(b"\r\n\r\n", 0, MAX_HEAD)
+    end = w.find(b"\r\n\r\n", MAX_HEAD)
     if end < 0:
         raise Damaged("no end of header")
     n = None
-    for line in w.buf[:end].split(b"\r\n"):
+    for line in w.take(0, end).split(b"\r\n"):
         if line.lower().startswith(b"content-length:"):
             v = line.split(b":", 1)[1].strip()
             n = int(v) if v.isdigit() else None
@@ -160,7 +171,7 @@ def _plain(w: _Window) -> tuple[bytes, int]:
     size = end + 4 + n + 4
     if not w.need(size):
         raise Damaged("record is cut off")
-    return w.buf[:size], size
+    return w.take(0, size), size
 
 
 def read_records(stream) -> Iterator[tuple]:
@@ -173,7 +184,7 @@ def read_records(stream) -> Iterator[tuple]:
     lost_from, reason = None, ""
     while w.need(1):
         try:
-            if w.need(2) and w.buf[:2] == b"\x1f\x8b":
+            if w.need(2) and w.take(0, 2) == b"\x1f\x8b":
                 data, used = _member(w)
             else:
                 data, used = _plain(w)
@@ -197,14 +208,14 @@ def _seek(w: _Window) -> None:
     w.skip(1)
     while True:
         w.need(_READ)
-        found = [k for k in (w.buf.find(b"\x1f\x8b\x08"), w.buf.find(b"WARC/1.")) if k >= 0]
+        found = [k for k in (w.find(b"\x1f\x8b\x08"), w.find(b"WARC/1.")) if k >= 0]
         if found:
             w.skip(min(found))
             return
         if w.ended:
-            w.skip(len(w.buf))
+            w.skip(w.left())
             return
-        w.skip(max(1, len(w.buf) - 7))
+        w.skip(max(1, w.left() - 7))
 
 
 # ---------------------------------------------------------------- Spark
