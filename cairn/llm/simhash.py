@@ -248,38 +248,21 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- removal of near-duplicates
-DEDUP_BITS = 10  # within one plane
-BOTH_BITS = 17  # within both planes together
-PLANE_MASKS, MASK_BITS = 10, 18
-
-
-def plane_masks(plane: int) -> list[int]:
-    """PLANE_MASKS patterns of MASK_BITS of the 64 bits, spread evenly and the same everywhere."""
-    rng = np.random.default_rng([64, plane])
-    out: list[int] = []
-    pool: list[int] = []
-    for _ in range(PLANE_MASKS):
-        bits: set[int] = set()
-        while len(bits) < MASK_BITS:
-            if not pool:
-                pool = rng.permutation(64).tolist()
-            bits.add(pool.pop())
-        out.append(sum(1 << b for b in bits))
-    return out
+def _mark(t: bytes | None) -> str:
+    """Key of the exact word sequence."""
+    return xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split()) if t else b"")
+
+
+def _number(key: str) -> int:
+    return int(key[:16], 16) - (1 << 63)
 
 
 def _sketch(batches):
-    """__row, id, key (of the exact word sequence), fp0 and fp1 per text."""
+    """__row, id, key and mark (a number for the key) per text."""
     for b in batches:
-        key, fps = [], ([], [])
-        for t in b.column("__text").to_pylist():
-            key.append(xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split()) if t else b""))
-            blocks = list(shingle_hashes(t, 1))
-            h = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, dtype=np.uint64)
-            fps[0].append(fold([h]))
-            fps[1].append(fold([common.mix64(h, 9)]))
-        cols = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps]
-        yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("id"), pa.array(key, pa.string()), *cols], names=["__row", "id", "key", "fp0", "fp1"])
+        key = [_mark(t) for t in b.column("__text").to_pylist()]
+        cols = [pa.array(key, pa.string()), pa.array(list(map(_number, key)), pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("id"), *cols], names=["__row", "id", "key", "mark"])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -321,6 +304,139 @@ def _sets(rows: DataFrame, words: int, text_col: str) -> DataFrame:
     return rows.select("__row", F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, "node long, s array<long>")
 
 
+SAMPLE, HOT_IN, MOST_HOT = 4_000, 4, 100_000  # texts looked at for frequent shingles, texts one must stand in, shingles kept
+HELD = 200_000  # rows of a group table taken at once
+PREFIX = "token long, mark long, n int, pos int"
+
+
+def frequent(rows: DataFrame, total: int, words: int, text_col: str) -> np.ndarray:
+    """Shingle hashes that stand in many of about SAMPLE texts, the rarer first; at most MOST_HOT."""
+    some = rows.filter(F.pmod(F.xxhash64("__row", F.lit(31)), F.lit(max(1, total // SAMPLE))) == 0)
+    n = _sets(some, words, text_col).select(F.explode("s").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_IN)
+    top = n.orderBy(F.desc("n"), "token").limit(MOST_HOT).collect()  # bounded
+    return np.array([r["token"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def prefixes(rows: DataFrame, hot: np.ndarray, words: int, similarity: float, text_col: str) -> DataFrame:
+    """PREFIX: for each text the first n - ceil(similarity n) + 1 of its n shingles, and their places, in one order for all texts.
+
+    Two sets of that similarity share at least ceil(similarity n) shingles of either, so the first one they share is among
+    these in both. Any order will do; by hash, with frequent shingles last, few texts share a shingle.
+    """
+    by_hash = np.argsort(hot)
+    shared = rows.sparkSession.sparkContext.broadcast((hot[by_hash], by_hash + 1))
+
+    def run(batches):
+        known, rank = shared.value
+        for b in batches:
+            token, mark, size, pos = [], [], [], []
+            for t in b.column("__text").to_pylist():
+                blocks = list(shingle_hashes(t, words))
+                if not blocks:
+                    continue
+                h = np.unique(np.concatenate(blocks))
+                n = len(h)
+                m = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    late = np.where(known[at] == h, rank[at], 0)
+                    if late.any():
+                        h = h[np.lexsort((h, late))]
+                token.append(h[:m].view(np.int64))
+                mark.append(_number(_mark(t))), size.append(n), pos.append(m)
+            if token:
+                cols = [np.concatenate(token), np.repeat(np.array(mark, dtype=np.int64), pos), np.repeat(np.array(size, dtype=np.int32), pos), np.concatenate([np.arange(m, dtype=np.int32) for m in pos])]
+                for at in range(0, len(cols[0]), HELD):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + HELD]) for c in cols], names=["token", "mark", "n", "pos"])
+
+    return rows.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, PREFIX)
+
+
+def _groups(batches, keys: tuple[str, ...], names: tuple[str, ...]):
+    """Columns of whole runs of equal keys, about HELD rows at a time, from sorted batches."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+        rows += b.num_rows
+        if rows < HELD:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held)]
+        last = np.logical_and.reduce([cols[names.index(k)] == cols[names.index(k)][-1] for k in keys])
+        at = int(np.argmax(last))  # the last run may go on in the next batch
+        if at:
+            yield dict(zip(names, (x[:at] for x in cols)))
+        held, rows = [[x[at:] for x in cols]], len(last) - at
+    if rows:
+        yield dict(zip(names, (np.concatenate(x) for x in zip(*held))))
+
+
+def _possible(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts whose first common shingle stands at these places can still be similar enough."""
+    n1, n2 = c["n"][i].astype(np.int64), c["n"][j].astype(np.int64)
+    rest = np.minimum(n1 - c["pos"][i], n2 - c["pos"][j])
+    return (np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-6) & (rest >= similarity / (1 + similarity) * (n1 + n2) - 1e-6)
+
+
+def sharing(entries: DataFrame, similarity: float) -> DataFrame:
+    """The entries, once per mark, of tokens that several marks have; prev: the mark before it by size, if the two can be similar."""
+    laid = entries.repartition(common.parts(entries.sparkSession), "token").sortWithinPartitions("token", "n", "mark")
+
+    def run(batches):
+        names = ("token", "mark", "n", "pos")
+        for c in _groups(batches, ("token",), names):
+            once = np.ones(len(c["token"]), dtype=bool)
+            once[1:] = (c["token"][1:] != c["token"][:-1]) | (c["mark"][1:] != c["mark"][:-1])
+            c = {k: x[once] for k, x in c.items()}
+            same = c["token"][1:] == c["token"][:-1]
+            many = np.append(same, False) | np.insert(same, 0, False)
+            j = np.flatnonzero(same) + 1
+            has = np.zeros(len(many), dtype=bool)
+            has[j[_possible(c, j - 1, j, similarity)]] = True
+            prev = pa.array(np.roll(c["mark"], 1)[many], mask=~has[many])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[k][many]) for k in names), prev], names=[*names, "prev"])
+
+    return laid.mapInArrow(run, PREFIX + ", prev long")
+
+
+def across(entries: DataFrame, similarity: float) -> DataFrame:
+    """u, v: pairs of nodes of different tag that share a token and can be similar enough, u < v, each at least once.
+
+    A token of over HOT_BUCKET nodes is split in chunks, met two by two.
+    """
+    big = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("t1"), F.max("tag").alias("t2")).filter("t1 != t2")
+    row = entries.join(big.select("token", F.ceil(F.col("k") / HOT_BUCKET).cast("int").alias("m")), "token")
+    row = row.withColumn("c", F.pmod(F.xxhash64("node", F.lit(8)), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    row = row.select("token", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "node", "n", "pos", "tag")
+    laid = row.repartition(common.parts(entries.sparkSession), "token", "c1", "c2").sortWithinPartitions("token", "c1", "c2", "n")
+
+    def run(batches):
+        for c in _groups(batches, ("token", "c1", "c2"), ("token", "c1", "c2", "c", "node", "n", "pos", "tag")):
+            new = np.ones(len(c["token"]), dtype=bool)
+            new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("token", "c1", "c2")])
+            end = np.repeat(np.append(np.flatnonzero(new)[1:], len(new)), np.diff(np.append(np.flatnonzero(new), len(new))))
+            most = np.empty(len(new), dtype=np.int64)  # where the sizes of a run become too large
+            for s, e in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new))):
+                most[s:e] = s + np.searchsorted(c["n"][s:e], c["n"][s:e] / similarity + 1e-6, "right")
+            width = np.minimum(most, end) - np.arange(len(new)) - 1
+            total = np.cumsum(width)
+            at = 0
+            while at < len(width):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE * 8, "right")))
+                w = width[at:to]
+                i = np.repeat(np.arange(at, to), w)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+                ok = (c["tag"][i] != c["tag"][j]) & ((c["c1"][i] == c["c2"][i]) | (c["c"][i] != c["c"][j]))
+                i, j = i[ok], j[ok]
+                ok = _possible(c, i, j, similarity)
+                u, v = c["node"][i[ok]], c["node"][j[ok]]
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+                at = to
+
+    return laid.mapInArrow(run, "u long, v long").distinct()
+
+
 FAMILY = 128  # nodes of a candidate family in one block
 
 
@@ -368,35 +484,30 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     """docs with one row of each near-duplicate group: the one with the least id (rows without an id last).
 
     Rows are linked when their sets of `words`-word shingles have at least that Jaccard similarity; groups are transitive.
-    Two SimHash planes over each text's distinct words (a changed word changes one of them, not five shingles) give the
-    candidates: equal on one of a plane's masks, within DEDUP_BITS bits there and BOTH_BITS on both, a probabilistic step
-    whose recall on edited copies of 0.8 to 0.84 was measured as over 0.99; each candidate is then verified exactly. First only links that span each cluster of candidates are verified; pairs
-    across the groups found so far follow, so a dense group is not expanded into all of its pairs.
+    Candidates are all pairs that a prefix filter over the shingles themselves leaves (prefixes()), so none is missed, whatever
+    the edit; each is verified exactly. First only neighbours by size under each shared shingle are verified; pairs across
+    the groups found so far follow, so a dense group is not expanded into all of its pairs.
     Texts without a word are copies of each other. Repeated rows count as copies. All columns are kept.
     """
     rows = numbered(docs)
     sketch = rows.select("__row", F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    flat = common.cut(sketch.mapInArrow(_sketch, f"__row long, id {kind}, key string, fp0 long, fp1 long"), "sketch")
+    flat = common.cut(sketch.mapInArrow(_sketch, f"__row long, id {kind}, key string, mark long"), "sketch")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row"))
-    nodes = flat.groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"))
+    nodes = flat.groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("mark").alias("mark"))
     nodes = common.cut(nodes.withColumn("node", F.col("rep.__row")), "sketch-nodes")
-    found = None
-    tags = nodes.select("node", F.col("node").alias("tag"))
-    for spanning in (True, False):
-        pairs = None
-        for plane in (0, 1):
-            part = nodes.join(tags, "node").select(F.col(f"fp{plane}").alias("fp"), F.col("node").alias("id"), "tag")
-            got = links(part, DEDUP_BITS, plane_masks(plane), spanning=spanning)
-            pairs = got if pairs is None else pairs.unionByName(got)
-        fp = lambda c: nodes.select(F.col("node").alias(c), F.col("fp0").alias(f"{c}0"), F.col("fp1").alias(f"{c}1"))
-        apart = F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))) + F.bit_count(F.col("u1").bitwiseXOR(F.col("v1")))
-        pairs = pairs.distinct().join(fp("u"), "u").join(fp("v"), "v").filter(apart <= BOTH_BITS).select("u", "v")
-        pairs = common.cut(pairs, "pairs")
-        sure = common.cut(verified(rows, pairs, words, similarity, text_col), "verified")
-        found = sure if found is None else found.unionByName(sure)
-        comp = components(found)
-        tags = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("tag"))
+    hot_shingles = frequent(rows, flat.count(), words, text_col)
+    entries = common.cut(sharing(prefixes(rows, hot_shingles, words, similarity, text_col), similarity), "sharing")
+    named = lambda c: nodes.select(F.col("mark").alias(f"m{c}"), F.col("node").alias(c))
+    near = entries.filter("prev is not null").select(F.col("prev").alias("mu"), F.col("mark").alias("mv")).distinct()
+    near = near.join(named("u"), "mu").join(named("v"), "mv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    near = common.cut(near.distinct(), "pairs")
+    found = common.cut(verified(rows, near, words, similarity, text_col), "verified")
+    tags = nodes.select("node", "mark").join(components(found), "node", "left").select("node", "mark", F.coalesce("root", "node").alias("tag"))
+    rest = across(entries.join(tags, "mark").select("token", "node", "n", "pos", "tag"), similarity)
+    rest = common.cut(rest.join(near, ["u", "v"], "left_anti"), "pairs")
+    found = found.unionByName(common.cut(verified(rows, rest, words, similarity, text_col), "verified"))
+    tags = nodes.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("tag"))
     group = nodes.join(tags, "node").select("key", "rep", "tag", "n")
     best = group.groupBy("tag").agg(F.min("rep").alias("best"))
     keep = common.cut(group.join(best, "tag").select("key", F.col("best.__row").alias("keep"), "n"), "keep")

@@ -125,6 +125,26 @@ def test_dedup_against_brute_force(spark, docs_of, tmp_path):
     assert {r.doc_id for r in got.collect()} == keep and got.columns == docs.columns
 
 
+def test_dedup_finds_appended_and_cut_copies(spark, docs_of):
+    random.seed(11)
+    texts = []
+    for k in range(300):
+        own = [f"w{int(random.paretovariate(0.6)) % 50_000}" for _ in range(200)]
+        more = [f"w{int(random.paretovariate(0.6)) % 50_000}" for _ in range(38)]
+        texts += [" ".join(own), " ".join([own + more, more + own, own[36:]][k % 3])]
+    want = groups(list(range(600)), lambda a, b: a // 2 == b // 2 and jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(want.values())) < 320
+    assert {r.doc_id for r in S.dedup(docs_of(texts)).collect()} == set(want.values())
+
+
+def test_dedup_hot_shingles(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(S, "HOT_BUCKET", 10)
+    monkeypatch.setattr(S, "HELD", 50)
+    texts = [t + " the same last line of every text here" for t in texts_of(80, 5)]
+    want = groups(list(range(80)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert {r.doc_id for r in S.dedup(docs_of(texts)).collect()} == set(want.values())
+
+
 def test_dedup_odd(spark, docs_of, odd):
     got = S.dedup(docs_of(odd, ids=[5, 6, 7, None, 4, 4, 8, 9])).collect()
     assert sorted((r.doc_id for r in got), key=lambda x: (x is None, x)) == [4, 5, 8, 9, None]
