@@ -3,9 +3,12 @@
 The model file's pieces and scores are read with the sentencepiece library; merging is done here. A text is split before
 every run of spaces (no piece of such a model holds a space after another sign; the model is checked for it), so each chunk
 is merged by itself. In a chunk the agenda holds candidate merges; the best score, then the leftmost, comes first; a
-candidate is skipped for good if its keyed hash (seed, variant, place, left and right piece) falls under the dropout rate.
-The variant is a keyed hash of (row key, chunk number) modulo `variants`: occurrences of one word vary, and any
-worker gets the same result. With rate 0 the segmentation is the library's own.
+candidate is skipped for good if its keyed hash (seed, row key, chunk number, place, left and right piece) falls under the
+dropout rate: every occurrence of a word draws anew, and any worker gets the same result. With rate 0 the segmentation is
+the library's own.
+
+What a worker remembers of a chunk is a tree: an entry is the chunk merged with a known set of skips, and the candidates it
+met on the way. An occurrence walks from entry to entry at its first skipped candidate, so no entry decides a skip.
 
 All chunks of a batch that were not met before are merged together, one agenda step for every chunk at a time, in numpy.
 """
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 from cairn.llm import common
 
 SPACE = "▁"
-VARIANTS = 3
-CACHE = 250_000  # chunks a worker remembers
+CACHE = 250_000  # chunks a worker remembers, and half of the entries
+MEMO = 16  # longer chunks are not remembered under dropout
+BLOCK = 200_000  # occurrences whose skips are drawn at once
 LONG = 64  # longer chunks are merged one by one on a heap
 _CHUNK = re.compile(r" *[^ ]+| +")
 
@@ -114,10 +118,13 @@ class Pieces:
         return out
 
 
-def _dropped(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, limit: np.uint64) -> np.ndarray:
+def _candidate(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = key ^ common.mix64(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ((left << 32) | right).astype(np.uint64))
-    return common.mix64(h, 5) < limit
+        return common.mix64(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ((left << 32) | right).astype(np.uint64))
+
+
+def _dropped(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, limit: np.uint64) -> np.ndarray:
+    return common.mix64(key ^ _candidate(at, left, right), 5) < limit
 
 
 _M64 = (1 << 64) - 1
@@ -131,8 +138,8 @@ def _mix(x: int, seed: int) -> int:
     return z ^ (z >> 31)
 
 
-def agenda(sym: list[int], m: Pieces, key: int, limit: int) -> list[int]:
-    """One chunk merged on a heap; the reference form of merge_all()."""
+def agenda(sym: list[int], m: Pieces, key: int, limit: int, skip: int = 0, log: list | None = None) -> list[int]:
+    """One chunk merged on a heap; the reference form of merge_all(). With a log, the candidates met go there and bits of skip decide."""
     n = len(sym)
     sym = list(sym)
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -154,7 +161,11 @@ def agenda(sym: list[int], m: Pieces, key: int, limit: int) -> list[int]:
         _, i, a, b, new = heapq.heappop(heap)
         if not alive[i] or sym[i] != a or nxt[i] >= n or sym[nxt[i]] != b:
             continue
-        if limit and _mix(key ^ _mix((i * 0x9E3779B97F4A7C15 & _M64) ^ (a << 32 | b), 0), 5) < limit:
+        if log is not None:
+            log.append((i, a, b))
+            if skip >> (len(log) - 1) & 1:
+                continue
+        elif limit and _mix(key ^ _mix((i * 0x9E3779B97F4A7C15 & _M64) ^ (a << 32 | b), 0), 5) < limit:
             continue
         j = nxt[i]
         sym[i], alive[j] = new, False
@@ -167,8 +178,11 @@ def agenda(sym: list[int], m: Pieces, key: int, limit: int) -> list[int]:
     return [s for s, ok in zip(sym, alive) if ok]
 
 
-def merge_all(chunks: list[str], keys: np.ndarray, m: Pieces, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every chunk merged, all of them one agenda step at a time: piece ids end to end, and their number for each chunk."""
+def merge_all(chunks: list[str], keys: np.ndarray, m: Pieces, limit: int, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Every chunk merged, all of them one agenda step at a time: piece ids end to end, and their number for each chunk.
+
+    With a log, keys are bits of skips by candidate number, and (chunk number, hash) of the candidates met go to the log.
+    """
     size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
     code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sign = m.sign[code]
@@ -182,7 +196,13 @@ def merge_all(chunks: list[str], keys: np.ndarray, m: Pieces, limit: int) -> tup
     counts = np.zeros(len(chunks), dtype=np.int64)
     byte = np.array(m.byte, dtype=np.int64)
     for i in np.flatnonzero(odd):
-        ids = np.array(agenda(m.start(chunks[i]), m, int(keys[i]), limit), dtype=np.int64)
+        if log is None:
+            ids = np.array(agenda(m.start(chunks[i]), m, int(keys[i]), limit), dtype=np.int64)
+        else:
+            met: list[tuple] = []
+            ids = np.array(agenda(m.start(chunks[i]), m, 0, 0, int(keys[i]), met), dtype=np.int64)
+            if met:
+                log.append((np.full(len(met), i), _candidate(*np.array(met, dtype=np.int64).T)))
         ids[ids < 0] = byte[-2 - ids[ids < 0]]
         got.append(ids)
         where.append(np.array([i]))
@@ -198,7 +218,10 @@ def merge_all(chunks: list[str], keys: np.ndarray, m: Pieces, limit: int) -> tup
         col = np.arange(width)
         inside = col[None, :] < size[rows, None]
         flat = np.where(inside, sign[np.minimum(first[rows, None] + col, len(sign) - 1)], -1)
-        _merge_block(flat, keys[rows], m, np.uint64(limit))
+        if log is None:
+            _merge_block(flat, keys[rows], m, np.uint64(limit))
+        else:
+            log += [(rows[r], c) for r, c in _trace_block(flat, keys[rows], m)]
         counts[rows] = (flat != -1).sum(axis=1)
         ids = flat[flat != -1]
         ids[ids < 0] = byte[-2 - ids[ids < 0]]
@@ -270,6 +293,47 @@ def _merge_block(sym: np.ndarray, keys: np.ndarray, m: Pieces, limit: np.uint64)
             return
 
 
+def _trace_block(sym: np.ndarray, skip: np.ndarray, m: Pieces) -> list[tuple[np.ndarray, np.ndarray]]:
+    """_merge_block with skips by bits; for each step the rows still at work and the hash of the candidate each met."""
+    width = sym.shape[1]
+    work, place = sym.copy(), np.broadcast_to(np.arange(width), sym.shape).copy()
+    piece = np.where(work < 0, -1, work)
+    rank, val = _score(piece[:, :-1], piece[:, 1:], place[:, :-1], np.uint64(0), m, np.uint64(0))
+    ids = np.arange(len(sym))
+    log: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        best = np.argmin(rank, axis=1)
+        go = rank[np.arange(len(ids)), best] < _NONE
+        if not go.all():
+            sym[ids[~go]] = work[~go]
+            ids, work, place, rank, val, best = ids[go], work[go], place[go], rank[go], val[go], best[go]
+        if not len(ids):
+            return log
+        r = np.arange(len(ids))
+        late = (skip[ids] >> np.uint64(len(log))) & np.uint64(1) == 1
+        log.append((ids, _candidate(place[r, best], work[r, best], work[r, best + 1])))
+        rank[r[late], best[late]] = _NONE
+        k = np.flatnonzero(~late)
+        if not len(k):
+            continue
+        b, n = best[k], np.arange(len(k))
+        own = work[k]
+        own[n, b] = val[k, b]
+        src = np.arange(width)[None, :] + (np.arange(width)[None, :] > b[:, None])
+        src = np.minimum(src, width - 1)
+        own, at = np.take_along_axis(own, src, axis=1), np.take_along_axis(place[k], src, axis=1)
+        own[:, -1] = -1
+        src = np.minimum(src[:, :-1], width - 2)
+        rk, vl = np.take_along_axis(rank[k], src, axis=1), np.take_along_axis(val[k], src, axis=1)
+        rk[:, -1] = _NONE
+        for off in (-1, 0):
+            p = b + off
+            ok = p >= 0
+            x, y = own[n[ok], p[ok]], own[n[ok], p[ok] + 1]
+            rk[n[ok], p[ok]], vl[n[ok], p[ok]] = _score(np.where(x < 0, -1, x), np.where(y < 0, -1, y), at[n[ok], p[ok]], np.uint64(0), m, np.uint64(0))
+        work[k], place[k], rank[k], val[k] = own, at, rk, vl
+
+
 def _score(left, right, place, key, m: Pieces, limit: np.uint64):
     new = m.lookup(left, right)
     rank = np.where(new >= 0, m.rank[new], _NONE)
@@ -291,23 +355,67 @@ class _Words(dict):
         return n
 
 
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.all, self.n = np.zeros(1024, dtype=kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.all):
+            grown = np.zeros(max(self.n + len(x), len(self.all) * 3 // 2), dtype=self.all.dtype)
+            grown[: self.n] = self.all[: self.n]
+            self.all = grown
+        self.all[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class Encoder:
-    """Encodes texts with a memory of chunks that is emptied past CACHE entries."""
+    """Encodes texts with a memory of chunks that is emptied past CACHE chunks or twice as many entries."""
 
-    def __init__(self, m: Pieces, rate: float, seed: int, variants: int = VARIANTS) -> None:
-        self.m, self.variants = m, variants if rate > 0 else 1
+    def __init__(self, m: Pieces, rate: float, seed: int) -> None:
+        self.m = m
         self.limit = min(int(min(max(rate, 0.0), 1.0) * 2**64), 2**64 - 1)
-        self.keys = common.mix64(np.arange(self.variants, dtype=np.uint64) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(1000003), 1)
+        self.seed = common.mix64(np.array([seed & 0xFFFFFFFF], dtype=np.uint64) * np.uint64(1000003), 1)[0]
         self.forget()
 
     def forget(self) -> None:
         self.words = _Words()
-        self.slot = np.full((0, self.variants), -1, dtype=np.int64)  # (chunk, variant) -> entry of start and count
-        self.pool, self.start, self.count = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.root = _Rows(np.int64)  # chunk -> entry without a skip, plus 1
+        self.pool, self.met, self.child = _Rows(np.int32), _Rows(np.uint64), _Rows(np.int64)  # pieces; candidates; entry if skipped there, plus 1
+        # an entry: its pieces, its candidates, the first of them that is open, skips before that
+        self.start, self.count, self.first, self.end, self.open, self.skips = (_Rows(k) for k in (*[np.int64] * 5, np.uint64))
+
+    def _enter(self, words: list[str], skips: np.ndarray, opened: np.ndarray) -> np.ndarray:
+        """New entries, their candidates before number `opened` decided."""
+        log: list[tuple] = []
+        ids, counts = merge_all(words, skips, self.m, 0, log)
+        who, met = (np.concatenate(x) for x in zip(*log)) if log else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+        n = np.bincount(who, minlength=len(words))
+        end = self.met.n + np.cumsum(n)
+        got = self.count.n + np.arange(len(words))
+        self.start.add(self.pool.n + np.cumsum(counts) - counts), self.count.add(counts)
+        self.first.add(end - n), self.end.add(end), self.open.add(end - n + opened), self.skips.add(skips)
+        self.pool.add(ids), self.met.add(met[np.argsort(who, kind="stable")]), self.child.add(np.zeros(len(met), dtype=np.int64))
+        return got
+
+    def _walk(self, entry: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences, places in met) of the first open candidate that each occurrence skips."""
+        who, at = [], []
+        for s in range(0, len(entry), BLOCK):
+            e = entry[s : s + BLOCK]
+            a, n = self.open.all[e], self.end.all[e] - self.open.all[e]
+            place = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            hit = np.flatnonzero(common.mix64(np.repeat(key[s : s + BLOCK], n) ^ self.met.all[place], 5) < np.uint64(self.limit))
+            o = np.searchsorted(np.cumsum(n), hit, "right")
+            new = np.ones(len(o), dtype=bool)
+            new[1:] = o[1:] != o[:-1]
+            who.append(s + o[new]), at.append(place[hit[new]])
+        return np.concatenate(who), np.concatenate(at)
 
     def encode(self, texts: list[str | None], row_keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and their number for each text (0 for null and empty ones)."""
-        if len(self.words) > CACHE:
+        if len(self.words) > CACHE or self.count.n > 2 * CACHE:
             self.forget()
         words: list[str] = []
         n = np.zeros(len(texts), dtype=np.int64)
@@ -316,31 +424,51 @@ class Encoder:
                 got = _CHUNK.findall(" " + t)  # the dummy space that the model puts first
                 words += got
                 n[k] = len(got)
-        w = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        if len(self.words) > len(self.slot):
-            grown = np.full((max(len(self.words), 2 * len(self.slot)), self.variants), -1, dtype=np.int64)
-            grown[: len(self.slot)] = self.slot
-            self.slot = grown
-        v = np.zeros(len(words), dtype=np.int64)
-        if self.variants > 1:
-            place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-            key = np.array([k & 0xFFFFFFFFFFFFFFFF for k in row_keys], dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                v = (common.mix64(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.repeat(key, n), 2) % np.uint64(self.variants)).astype(np.int64)
-        entry = self.slot[w, v]
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            pair, at = np.unique(w[new] * self.variants + v[new], return_index=True)
-            ids, counts = merge_all([words[i] for i in new[at]], self.keys[pair % self.variants], self.m, self.limit)
-            self.slot[pair // self.variants, pair % self.variants] = len(self.count) + np.arange(len(pair))
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(counts) - counts])
-            self.count = np.concatenate([self.count, counts])
-            self.pool = np.concatenate([self.pool, ids])
-            entry = self.slot[w, v]
-        per_word = self.count[entry]
+        if not words:
+            return np.zeros(0, dtype=np.int32), n
+        place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+        row = np.array([k & 0xFFFFFFFFFFFFFFFF for k in row_keys], dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            key = common.mix64(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.repeat(row, n), 2)
+        key = common.mix64(key ^ self.seed, 3)
+        long = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) > MEMO if self.limit else np.zeros(len(words), dtype=bool)
+        per_word, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        short = np.flatnonzero(~long)
+        if len(short):
+            w = np.fromiter((self.words[words[i]] for i in short.tolist()), dtype=np.int64, count=len(short))
+            if len(self.words) > self.root.n:
+                self.root.add(np.zeros(len(self.words) - self.root.n, dtype=np.int64))
+            chunk, at = np.unique(w, return_index=True)
+            new = self.root.all[chunk] == 0
+            if new.any():
+                chunk, at = chunk[new], at[new]
+                zero = np.zeros(len(chunk), dtype=np.int64)
+                self.root.all[chunk] = 1 + self._enter([words[i] for i in short[at]], zero.astype(np.uint64), zero)
+            entry = self.root.all[w] - 1
+            left = np.arange(len(short)) if self.limit else np.zeros(0, dtype=np.int64)
+            while len(left):
+                who, at = self._walk(entry[left], key[short[left]])
+                left = left[who]
+                slot, one = np.unique(at, return_index=True)
+                new = self.child.all[slot] == 0
+                if new.any():
+                    slot, one = slot[new], one[new]
+                    e = entry[left[one]]
+                    number = slot - self.first.all[e]
+                    skips = self.skips.all[e] | (np.uint64(1) << number.astype(np.uint64))
+                    self.child.all[slot] = 1 + self._enter([words[i] for i in short[left[one]]], skips, number + 1)
+                if len(left):
+                    entry[left] = self.child.all[at] - 1
+            per_word[short], start[short] = self.count.all[entry], self.start.all[entry]
+        pool = self.pool.all[: self.pool.n]
+        far = np.flatnonzero(long)
+        if len(far):
+            ids, counts = merge_all([words[i] for i in far], key[far], self.m, self.limit)
+            per_word[far], start[far] = counts, len(pool) + np.cumsum(counts) - counts
+            pool = np.concatenate([pool, ids])
         total = np.concatenate([[0], np.cumsum(per_word)])
         ends = np.cumsum(n)
-        return spread(self.pool, self.start[entry], per_word), total[ends] - total[ends - n]
+        return spread(pool, start, per_word), total[ends] - total[ends - n]
 
 
 def decode(ids, m: Pieces) -> str | None:

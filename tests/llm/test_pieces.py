@@ -52,6 +52,26 @@ def test_varied_and_repeatable(model):
     assert len({tuple(x) for x in np.array_split(np.array(a[:60]), 6)}) > 1
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.6])
+def test_every_occurrence_draws_its_own_skips(model, rate):
+    texts = TEXTS + ["characteristics of tokenization, don't 数学 été " * 300] * 2
+    enc = P.Encoder(model, rate, 7)
+    seen, met = set(), 0
+    for _ in range(2):  # the second time from memory
+        got = lists(enc, texts)
+        for row, t in enumerate(texts):
+            want = []
+            for place, w in enumerate(P._CHUNK.findall(" " + t) if t else []):
+                key = P._mix(P._mix((place * 0x9E3779B97F4A7C15 & P._M64) ^ row, 2) ^ int(enc.seed), 3)
+                ids = [i if i >= 0 else model.byte[-2 - i] for i in P.agenda(model.start(w), model, key, enc.limit)]
+                want += ids
+                if w == " characteristics":
+                    seen.add(tuple(ids))
+                    met += 1
+            assert got[row] == want
+    assert met >= 1000 and len(seen) > 3
+
+
 def test_spark(spark, docs_of, odd):
     got = P.encode(docs_of(odd, ids=[None, 1, 2, 3, 4, 4, 6, 7]), PIECE_MODEL).collect()
     by = {r.doc_id: r for r in got}
