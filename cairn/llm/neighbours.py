@@ -4,12 +4,16 @@ Equal vectors are one node. Neighbour lists start from the leaves of random hype
 neighbours with each other (neighbours of neighbours) and keeps each node's best; a list that is full of threshold links is
 saturated and may be twice as long in the next round. Links over the threshold join nodes to components; linked nodes
 always share one, so the links of every node are then counted exactly, in blocks, within its component: lists that were
-still saturated lose nothing. A bounded sample of nodes is held against all others by brute force; while too few of their
-links lie within components, another round follows, from fresh trees.
+still saturated lose nothing. Deeper trees part more pairs, so there are more of them. Rounds go on until the lists hardly change.
+Then a sample of nodes, enlarged until it has links enough, is held against all others by brute force; while too few of its
+links lie within components, another round follows, from fresh trees. What was not reached is reported.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,12 +23,14 @@ from cairn.llm import common
 from cairn.llm.components import components
 
 K = 12
-TREES = 4
+TREES, MISS = 4, 0.005  # trees at least, and the chance that a pair at the threshold shares no leaf
 LEAF = 512  # nodes per leaf, aimed at
 CHUNK = 1024  # nodes compared at once
 FLOOR = 0.5  # pairs under it are no news to a list
 ROUNDS, MAX_ROUNDS = 2, 6
+CHANGED = 0.001  # share of new list entries under which the lists are at rest
 AUDIT, TARGET = 512, 0.98  # nodes held against all others, and the share of their links to be found
+AUDIT_LINKS, MOST_AUDIT = 200, 32_768  # links that an audit needs, and nodes at most
 
 
 def nodes_of(rows: DataFrame, vec: str, label: str, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +79,16 @@ def _best(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray):
     return ids[r], ids[top[r, c]], got[r, c]
 
 
-def leaves(nodes: DataFrame, seed: int, k: int = K) -> DataFrame:
-    """First lists: the k best within each leaf of TREES random hyperplane trees per group, leaves read in chunks."""
+def trees(depth: int, threshold: float) -> int:
+    """Trees in which a pair at the threshold shares some leaf but for a chance of MISS; a plane parts it with chance angle / pi."""
+    if depth < 1 or threshold >= 1:
+        return TREES
+    together = (1 - math.acos(max(threshold, -1.0)) / math.pi) ** depth
+    return max(TREES, math.ceil(math.log(MISS) / math.log1p(-together)))
+
+
+def leaves(nodes: DataFrame, seed: int, threshold: float, k: int = K) -> DataFrame:
+    """First lists: the k best within each leaf of random hyperplane trees per group, leaves read in chunks."""
     size = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int"))
     src = nodes.join(size.select("grp", "depth"), "grp").select("grp", "node", "vec", "dim", "depth")
 
@@ -85,12 +99,13 @@ def leaves(nodes: DataFrame, seed: int, k: int = K) -> DataFrame:
                 part = b.filter(pa.array(dims == d))
                 x = _unit(part.column("vec"), part.num_rows)
                 deep = depth[dims == d]
-                for t in range(TREES):
+                wanted = np.array([trees(int(x), threshold) for x in range(int(deep.max()) + 1)])[deep]
+                for t in range(int(wanted.max())):
                     planes = np.random.default_rng([seed, t, int(d)]).standard_normal((int(d), 30))
                     bits = (x @ planes) > 0
                     leaf = (bits * (1 << np.arange(30)) * (np.arange(30)[None, :] < deep[:, None])).sum(axis=1)
                     cols = [pa.array(np.full(part.num_rows, t), pa.int32()), part.column("grp"), pa.array(leaf, pa.int64()), part.column("node"), part.column("vec")]
-                    yield pa.RecordBatch.from_arrays(cols, names=["t", "grp", "leaf", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["t", "grp", "leaf", "node", "vec"]).filter(pa.array(t < wanted))
 
     def best(batches):
         for _, held in common.by_key(batches, ("t", "grp", "leaf")):
@@ -139,12 +154,12 @@ def improve(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return laid.mapInArrow(join, EDGE)
 
 
-def audit(nodes: DataFrame, comp: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of at most `sample` nodes (lowest hashes) whose ends share a component; 1 without links."""
+def audit(nodes: DataFrame, comp: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[int, int]:
+    """(those whose ends share a component, all) of the true links of at most `sample` nodes (lowest hashes)."""
     spark = nodes.sparkSession
     rows = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample).select("node", "grp", "dim", "vec").collect()  # bounded
     if not rows:
-        return 1.0
+        return 0, 0
     by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for g in {r["grp"] for r in rows}:
         own = [r for r in rows if r["grp"] == g]
@@ -160,17 +175,32 @@ def audit(nodes: DataFrame, comp: DataFrame, threshold: float, sample: int = AUD
                 if g not in shared.value:
                     continue
                 q, y = shared.value[g]
-                part = b.filter(pa.array(grp == g))
-                s = _unit(part.column("vec"), part.num_rows) @ y.T
-                r, c = np.nonzero(s >= threshold)
-                v = part.column("node").to_numpy()[r]
-                other = v != q[c]
-                yield _edges(q[c][other], v[other], s[r, c][other])
+                whole = b.filter(pa.array(grp == g))
+                step = max(1, (1 << 22) // len(q))
+                for at in range(0, whole.num_rows, step):
+                    part = whole.slice(at, step)
+                    s = _unit(part.column("vec"), part.num_rows) @ y.T
+                    r, c = np.nonzero(s >= threshold)
+                    v = part.column("node").to_numpy()[r]
+                    other = v != q[c]
+                    yield _edges(q[c][other], v[other], s[r, c][other])
 
     true = nodes.select("node", "grp", "vec").mapInArrow(against, EDGE)
     root = lambda a: comp.select(F.col("node").alias(a), F.col("root").alias(f"{a}_root"))
     got = true.join(root("u"), "u", "left").join(root("v"), "v", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("u_root") == F.col("v_root")).alias("k")).first()
-    return got["k"] / got["n"] if got["n"] else 1.0
+    return got["k"], got["n"]
+
+
+def audited(nodes: DataFrame, comp: DataFrame, threshold: float, total: int) -> tuple[bool, str]:
+    """Whether TARGET is met by AUDIT_LINKS links or by all nodes, and the figures. Too few links in MOST_AUDIT nodes are no pass."""
+    sample = AUDIT
+    while True:
+        found, links = audit(nodes, comp, threshold, sample)
+        if links >= AUDIT_LINKS or sample >= min(total, MOST_AUDIT):
+            break
+        sample = min(sample * 8, MOST_AUDIT)
+    enough = links >= AUDIT_LINKS or sample >= total
+    return enough and found >= TARGET * links, f"{found} of {links} links of {min(sample, total)} among {total} nodes found"
 
 
 def count_links(member: DataFrame, threshold: float) -> DataFrame:
@@ -213,22 +243,28 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     all_rows, found = nodes_of(rows, vec, label, id_col)
     all_rows = common.cut(all_rows, "vec-rows")
     nodes = common.cut(found, "vec-nodes")
-    edges = common.cut(trim(leaves(nodes, 0), threshold, K, 2 * K), "lists")
-    most = 2 * K
+    n_nodes = nodes.count()
+    edges = common.cut(trim(leaves(nodes, 0, threshold), threshold, K, 2 * K), "lists")
+    most, asked = 2 * K, False
     for r in range(1, MAX_ROUNDS + 1):
         new = improve(edges, nodes, K)
-        if r > ROUNDS:  # the audit asked for more: fresh trees too
-            new = new.unionByName(leaves(nodes, r))
+        if asked:  # the audit asked for more: fresh trees too
+            new = new.unionByName(leaves(nodes, r, threshold))
         most *= 2
         nxt = common.cut(trim(edges.unionByName(new), threshold, K, most), "lists")
+        moving = nxt.join(edges, ["u", "v"], "left_anti").count() > CHANGED * nxt.count()
         common.drop(edges)
         edges = nxt
-        if r < ROUNDS:
+        if r < MAX_ROUNDS and (r < ROUNDS or (moving and not asked)):
             continue
         comp = components(edges.filter(F.col("sim") >= threshold))
         comp = common.cut(comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct()), "vec-comp")
-        if audit(nodes, comp, threshold) >= TARGET:
+        passed, figures = audited(nodes, comp, threshold, n_nodes)
+        if passed:
             break
+        asked = True
+    else:
+        warnings.warn(f"near_vectors: after {MAX_ROUNDS} rounds the audit is not passed: {figures}", RuntimeWarning, stacklevel=2)
     member = nodes.join(comp.withColumnRenamed("root", "comp"), "node").select("comp", "node", "w", "vec", "least")
     low = member.groupBy("comp").agg(F.min("least").alias("low"))
     known = member.select("node", "comp").join(low, "comp").join(count_links(member.drop("least"), threshold), "node").select("node", "low", "linked")

@@ -54,3 +54,25 @@ def test_odd(spark):
     for i in (7, 8, 9, 13):
         assert got[i] == (3, 7, i == 7)
     assert N.near_vectors(df.limit(0)).count() == 0
+
+
+def test_isolated_pairs_in_deep_trees(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 8)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 200, 2):  # 100 pairs at cosine 0.935, the others alone
+        y = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = 0.935 * x[i] + np.sqrt(1 - 0.935**2) * y / np.linalg.norm(y)
+    got = N.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], DDL)).filter("n_links > 0").collect()
+    assert len(got) >= 196 and all(r.vec_id < 200 and r.n_links == 1 for r in got)
+
+
+def test_audit_without_links_is_no_pass(spark, monkeypatch):
+    monkeypatch.setattr(N, "AUDIT", 4)
+    nodes = spark.createDataFrame([(i, 0, 2, [float(np.cos(i)), float(np.sin(i))]) for i in range(40)], "node long, grp long, dim int, vec array<double>")
+    none = spark.createDataFrame([], "node long, root long")
+    monkeypatch.setattr(N, "MOST_AUDIT", 8)
+    assert not N.audited(nodes, none, 0.999999, 40)[0]
+    monkeypatch.setattr(N, "MOST_AUDIT", 100)
+    assert N.audited(nodes, none, 0.999999, 40)[0]
