@@ -244,6 +244,9 @@ def hybrid_recall(spark, sf):
 
 @query("mmr_rerank")
 def mmr_rerank(spark, sf):
-    v = vectors(spark, sf).filter("cast(id as int) < 60").select(F.lit("q").alias("query"), F.col("id").alias("target_id"), (1 / (1 + C.l2(F.col("embedding"), F.array(*map(F.lit, QVEC))))).alias("score"), "embedding")
-    return fusion.mmr(v, 0.5, 20)
+    """The 60 nearest of all embeddings, reranked to 20."""
+    v = vectors(spark, sf)
+    near = lanes.vector(v, QVEC, 60).select("target_id", F.col("raw_score").alias("score"))
+    cands = v.select(F.col("id").alias("target_id"), "embedding").join(F.broadcast(near), "target_id")
+    return fusion.mmr(cands.select(F.lit("q").alias("query"), "target_id", "score", "embedding"), 0.5, 20)
 
