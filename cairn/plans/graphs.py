@@ -150,7 +150,8 @@ def community_overview(spark, sf):
 
 @query("community_summary_lane")
 def community_summary_lane(spark, sf):
-    e, lab = _labels(spark, sf)
+    e = call_edges(spark, sf)
+    lab = graph.communities(e)
     names = entities(spark, sf).select(F.regexp_extract("id", r"(\d+)", 1).cast("long").alias("id"), "name")
     s = graph.community_summary(lab, e.withColumn("predicate", F.lit("calls")), names)
     score = sum((F.col("summary").contains(w).cast("int") for w in ("Part", "12", "calls")), F.lit(0))

@@ -19,3 +19,10 @@ def test_mmr_starts_from_the_nearest_of_all(spark):
     near = sorted(far, key=lambda i: (far[i], i))
     assert len(got) == 20 and {r["target_id"] for r in got} <= set(near[:60])
     assert min(got, key=lambda r: r["mmr_rank"])["target_id"] == near[0]
+
+
+def test_summary_lane_takes_all_passes(spark, monkeypatch):
+    seen, real = [], graph.communities
+    monkeypatch.setattr(graph, "communities", lambda e, passes=20: (seen.append(passes), real(e, passes))[1])
+    graphs.community_summary_lane(spark, SF)
+    assert seen == [20]
