@@ -257,14 +257,6 @@ def _number(key: str) -> int:
     return int(key[:16], 16) - (1 << 63)
 
 
-def _sketch(batches):
-    """__row, id, key and mark (a number for the key) per text."""
-    for b in batches:
-        key = [_mark(t) for t in b.column("__text").to_pylist()]
-        cols = [pa.array(key, pa.string()), pa.array(list(map(_number, key)), pa.int64())]
-        yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("id"), *cols], names=["__row", "id", "key", "mark"])
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with __row, a number that names the row on every reading: from its place in its file, else from a written copy."""
     place = ("_metadata.file_path", "_metadata.row_index")
@@ -276,14 +268,15 @@ def numbered(docs: DataFrame) -> DataFrame:
         return common.cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
-SIEVE_BITS = 23
+SIEVE_BITS = 20, 25  # least and most; the bitmap has 8 bits or more per key up to the most, 4 MB
 
 
 def sieve(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rows with __maybe: false where __row is surely not among keys(__row). A bitmap of 2^SIEVE_BITS bits is broadcast."""
-    place = F.pmod(F.xxhash64("__row", F.lit(77)), F.lit(1 << SIEVE_BITS))
+    """rows with __maybe: false where __row is surely not among keys(__row). A bitmap of at most 2^25 bits is broadcast."""
+    bits = min(max((8 * keys.count()).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
+    place = F.pmod(F.xxhash64("__row", F.lit(77)), F.lit(1 << bits))
     words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits"))
-    words = common.cut(words, "sieve")  # at most 2^(SIEVE_BITS - 6) rows of 16 bytes, 2 MB
+    words = common.cut(words, "sieve")  # at most 2^(25 - 6) rows of 16 bytes
     out = rows.withColumn("__p", place).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(words), "__word", "left")
     return out.withColumn("__maybe", F.coalesce(F.expr("(shiftright(__bits, cast(__p & 63 as int)) & 1) = 1"), F.lit(False))).drop("__p", "__word", "__bits")
 
@@ -307,6 +300,7 @@ def _sets(rows: DataFrame, words: int, text_col: str) -> DataFrame:
 SAMPLE, HOT_IN, MOST_HOT = 4_000, 4, 100_000  # texts looked at for frequent shingles, texts one must stand in, shingles kept
 HELD = 200_000  # rows of a group table taken at once
 PREFIX = "token long, mark long, n int, pos int"
+PARITY = 512  # bits of the shortest parity bitmap
 
 
 def frequent(rows: DataFrame, total: int, words: int, text_col: str) -> np.ndarray:
@@ -317,25 +311,60 @@ def frequent(rows: DataFrame, total: int, words: int, text_col: str) -> np.ndarr
     return np.array([r["token"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
 
-def prefixes(rows: DataFrame, hot: np.ndarray, words: int, similarity: float, text_col: str) -> DataFrame:
-    """PREFIX: for each text the first n - ceil(similarity n) + 1 of its n shingles, and their places, in one order for all texts.
+def parity(h: np.ndarray) -> bytes:
+    """Bitmap of a set: a bit is 1 if an odd number of members fall on it. About as many bits as members, a power of two."""
+    m = max(PARITY, 1 << max(0, len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> bytes:
+    """The bitmap of the same set over fewer bits, size bytes."""
+    x = np.frombuffer(bits, dtype=np.uint8)
+    return bits if len(x) <= size else np.bitwise_xor.reduce(x.reshape(-1, size), axis=0).tobytes()
+
 
+def apart(a: bytes, b: bytes) -> int:
+    """At least so many members stand in one of two sets alone: each of them changes one bit."""
+    n = min(len(a), len(b))
+    return (int.from_bytes(folded(a, n), "little") ^ int.from_bytes(folded(b, n), "little")).bit_count()
+
+
+def most_apart(n1, n2, similarity: float):
+    """Members that may stand in one of two sets of n1 and n2 alone at that Jaccard similarity."""
+    return (n1 + n2) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def sketches(rows: DataFrame, hot: np.ndarray, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Of each text one row __row, id, key, mark, n, bits, then its prefix in rows of PREFIX.
+
+    The prefix are the first n - ceil(similarity n) + 1 of its n shingles, and their places, in one order for all texts.
     Two sets of that similarity share at least ceil(similarity n) shingles of either, so the first one they share is among
-    these in both. Any order will do; by hash, with frequent shingles last, few texts share a shingle.
+    these in both. Any order will do; by hash, with frequent shingles last, few texts share a shingle. Of copies read by one
+    task the first alone gives bits and prefix.
     """
     by_hash = np.argsort(hot)
     shared = rows.sparkSession.sparkContext.broadcast((hot[by_hash], by_hash + 1))
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = ["__row", "id", "key", "mark", "n", "bits", "token", "pos"]
 
     def run(batches):
         known, rank = shared.value
+        met: set[str] = set()
         for b in batches:
-            token, mark, size, pos = [], [], [], []
+            ids = b.column("id").type
+            key, size, bits, token, mark, long, pos = [], [], [], [], [], [], []
             for t in b.column("__text").to_pylist():
-                blocks = list(shingle_hashes(t, words))
+                k = _mark(t)
+                key.append(k)
+                blocks = [] if k in met else list(shingle_hashes(t, words))
+                met.add(k)
                 if not blocks:
+                    size.append(0), bits.append(None)
                     continue
                 h = np.unique(np.concatenate(blocks))
                 n = len(h)
+                size.append(n), bits.append(parity(h))
                 m = n - int(np.ceil(similarity * n - 1e-9)) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -343,13 +372,19 @@ def prefixes(rows: DataFrame, hot: np.ndarray, words: int, similarity: float, te
                     if late.any():
                         h = h[np.lexsort((h, late))]
                 token.append(h[:m].view(np.int64))
-                mark.append(_number(_mark(t))), size.append(n), pos.append(m)
+                mark.append(_number(k)), long.append(n), pos.append(m)
+            rest = [pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int32())]
+            cols = [b.column("__row"), b.column("id"), pa.array(key, pa.string()), pa.array(list(map(_number, key)), pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, *rest], names=names)
             if token:
-                cols = [np.concatenate(token), np.repeat(np.array(mark, dtype=np.int64), pos), np.repeat(np.array(size, dtype=np.int32), pos), np.concatenate([np.arange(m, dtype=np.int32) for m in pos])]
+                cols = [np.repeat(np.array(mark, dtype=np.int64), pos), np.repeat(np.array(long, dtype=np.int32), pos), np.concatenate(token), np.concatenate([np.arange(m, dtype=np.int32) for m in pos])]
                 for at in range(0, len(cols[0]), HELD):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + HELD]) for c in cols], names=["token", "mark", "n", "pos"])
+                    mk, n, tk, ps = (pa.array(c[at : at + HELD]) for c in cols)
+                    none = [pa.nulls(len(mk), x) for x in (pa.int64(), ids, pa.string(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*none[:3], mk, n, none[3], tk, ps], names=names)
 
-    return rows.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, PREFIX)
+    src = rows.select("__row", F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("__text"))
+    return src.mapInArrow(run, f"__row long, id {kind}, key string, mark long, n int, bits binary, token long, pos int")
 
 
 def _groups(batches, keys: tuple[str, ...], names: tuple[str, ...]):
@@ -399,19 +434,27 @@ def sharing(entries: DataFrame, similarity: float) -> DataFrame:
     return laid.mapInArrow(run, PREFIX + ", prev long")
 
 
-def across(entries: DataFrame, similarity: float) -> DataFrame:
+def across(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """u, v: pairs of nodes of different tag that share a token and can be similar enough, u < v, each at least once.
 
-    A token of over HOT_BUCKET nodes is split in chunks, met two by two.
+    nodes: node, bits. Pairs whose parity bitmaps differ too much are never emitted, so a group of texts that are alike but
+    less than similar costs comparisons, not rows. A token of over HOT_BUCKET nodes is split in chunks, met two by two.
     """
+
+    def short(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([folded(x, PARITY // 8) for x in b.column("bits").to_pylist()], pa.binary())], names=["node", "bits"])
+
     big = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("t1"), F.max("tag").alias("t2")).filter("t1 != t2")
     row = entries.join(big.select("token", F.ceil(F.col("k") / HOT_BUCKET).cast("int").alias("m")), "token")
+    row = row.join(nodes.select("node", "bits").filter("bits is not null").mapInArrow(short, "node long, bits binary"), "node")
     row = row.withColumn("c", F.pmod(F.xxhash64("node", F.lit(8)), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    row = row.select("token", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "node", "n", "pos", "tag")
+    row = row.select("token", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "node", "n", "pos", "tag", "bits")
     laid = row.repartition(common.parts(entries.sparkSession), "token", "c1", "c2").sortWithinPartitions("token", "c1", "c2", "n")
 
     def run(batches):
-        for c in _groups(batches, ("token", "c1", "c2"), ("token", "c1", "c2", "c", "node", "n", "pos", "tag")):
+        for c in _groups(batches, ("token", "c1", "c2"), ("token", "c1", "c2", "c", "node", "n", "pos", "tag", "bits")):
+            bits = np.frombuffer(b"".join(c.pop("bits")), dtype=np.uint64).reshape(-1, PARITY // 64)
             new = np.ones(len(c["token"]), dtype=bool)
             new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("token", "c1", "c2")])
             end = np.repeat(np.append(np.flatnonzero(new)[1:], len(new)), np.diff(np.append(np.flatnonzero(new), len(new))))
@@ -429,6 +472,11 @@ def across(entries: DataFrame, similarity: float) -> DataFrame:
                 ok = (c["tag"][i] != c["tag"][j]) & ((c["c1"][i] == c["c2"][i]) | (c["c"][i] != c["c"][j]))
                 i, j = i[ok], j[ok]
                 ok = _possible(c, i, j, similarity)
+                i, j = i[ok], j[ok]
+                ok = np.zeros(len(i), dtype=bool)
+                for s in range(0, len(i), SLICE):
+                    x, y = i[s : s + SLICE], j[s : s + SLICE]
+                    ok[s : s + SLICE] = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most_apart(c["n"][x].astype(np.int64), c["n"][y], similarity)
                 u, v = c["node"][i[ok]], c["node"][j[ok]]
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
@@ -440,6 +488,24 @@ def across(entries: DataFrame, similarity: float) -> DataFrame:
 FAMILY = 128  # nodes of a candidate family in one block
 
 
+def near_bits(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes (node, size, bits) whose sizes and parity bitmaps allow that similarity: none that has it is lost."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "bu", "bv")
+
+    def run(batches):
+        for b in batches:
+            n1, n2 = b.column("nu").to_numpy().astype(np.int64), b.column("nv").to_numpy().astype(np.int64)
+            ok = (np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-6) & (n1 > 0) & (n2 > 0)
+            most = most_apart(n1, n2, similarity)
+            x, y = b.column("bu"), b.column("bv")
+            for k in np.flatnonzero(ok):
+                ok[k] = apart(x[k].as_py(), y[k].as_py()) <= most[k]
+            yield b.select(["u", "v"]).filter(pa.array(ok))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
 def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (u, v) of rows whose sets of word shingles have at least that Jaccard similarity.
 
@@ -484,28 +550,29 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     """docs with one row of each near-duplicate group: the one with the least id (rows without an id last).
 
     Rows are linked when their sets of `words`-word shingles have at least that Jaccard similarity; groups are transitive.
-    Candidates are all pairs that a prefix filter over the shingles themselves leaves (prefixes()), so none is missed, whatever
-    the edit; each is verified exactly. First only neighbours by size under each shared shingle are verified; pairs across
+    Candidates are all pairs that a prefix filter over the shingles themselves leaves (sketches()), so none is missed, whatever
+    the edit; pairs whose fingerprints (parity bitmaps of the shingle sets) differ in more bits than the similarity allows fall
+    away, which loses none, and each other one is verified exactly. First only neighbours by size under each shared shingle are verified; pairs across
     the groups found so far follow, so a dense group is not expanded into all of its pairs.
     Texts without a word are copies of each other. Repeated rows count as copies. All columns are kept.
     """
     rows = numbered(docs)
-    sketch = rows.select("__row", F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("__text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    flat = common.cut(sketch.mapInArrow(_sketch, f"__row long, id {kind}, key string, mark long"), "sketch")
+    hot_shingles = frequent(rows, rows.count(), words, text_col)
+    made = common.cut(sketches(rows, hot_shingles, words, similarity, id_col, text_col), "sketch")
+    flat = made.filter("key is not null")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row"))
-    nodes = flat.groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("mark").alias("mark"))
-    nodes = common.cut(nodes.withColumn("node", F.col("rep.__row")), "sketch-nodes")
-    hot_shingles = frequent(rows, flat.count(), words, text_col)
-    entries = common.cut(sharing(prefixes(rows, hot_shingles, words, similarity, text_col), similarity), "sharing")
+    nodes = flat.groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("mark").alias("mark"), F.max(F.struct("n", "bits")).alias("set"))
+    nodes = common.cut(nodes.select("key", "rep", "n", "mark", F.col("set.n").alias("size"), "set.bits", F.col("rep.__row").alias("node")), "sketch-nodes")
+    entries = common.cut(sharing(made.filter("token is not null").select("token", "mark", "n", "pos"), similarity), "sharing")
     named = lambda c: nodes.select(F.col("mark").alias(f"m{c}"), F.col("node").alias(c))
     near = entries.filter("prev is not null").select(F.col("prev").alias("mu"), F.col("mark").alias("mv")).distinct()
     near = near.join(named("u"), "mu").join(named("v"), "mv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    near = common.cut(near.distinct(), "pairs")
+    near = common.cut(near_bits(near.distinct(), nodes, similarity), "pairs")
     found = common.cut(verified(rows, near, words, similarity, text_col), "verified")
     tags = nodes.select("node", "mark").join(components(found), "node", "left").select("node", "mark", F.coalesce("root", "node").alias("tag"))
-    rest = across(entries.join(tags, "mark").select("token", "node", "n", "pos", "tag"), similarity)
-    rest = common.cut(rest.join(near, ["u", "v"], "left_anti"), "pairs")
+    rest = across(entries.join(tags, "mark").select("token", "node", "n", "pos", "tag"), nodes, similarity)
+    rest = common.cut(near_bits(rest.join(near, ["u", "v"], "left_anti"), nodes, similarity), "pairs")
+    common.drop(entries)
     found = found.unionByName(common.cut(verified(rows, rest, words, similarity, text_col), "verified"))
     tags = nodes.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("tag"))
     group = nodes.join(tags, "node").select("key", "rep", "tag", "n")
