@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from cairn.llm import common
 
 SPACE = "▁"
-CACHE = 250_000  # chunks a worker remembers, and half of the entries
+CACHE = 400_000  # chunks a worker remembers, and half of the entries
 MEMO = 16  # longer chunks are not remembered under dropout
 BLOCK = 200_000  # occurrences whose skips are drawn at once
 LONG = 64  # longer chunks are merged one by one on a heap
+SLICE = 2_048  # texts encoded at once, of a batch that is bounded in bytes
+FEW = 1_200  # chunks under which each is merged on a heap: an array step costs as much for one row as for many
 _CHUNK = re.compile(r" *[^ ]+| +")
 
 
@@ -190,7 +193,7 @@ def merge_all(chunks: list[str], keys: np.ndarray, m: Pieces, limit: int, log: l
     odd = np.zeros(len(chunks), dtype=bool)  # with bytes, or too long for a block
     if len(sign):
         odd = np.logical_or.reduceat(sign == -1, np.minimum(first, len(sign) - 1))
-    odd |= size > LONG
+    odd |= (size > LONG) | (len(chunks) < FEW)
     got: list[np.ndarray | list[int]] = []
     where: list[np.ndarray] = []
     counts = np.zeros(len(chunks), dtype=np.int64)
@@ -435,7 +438,7 @@ class Encoder:
         per_word, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
         short = np.flatnonzero(~long)
         if len(short):
-            w = np.fromiter((self.words[words[i]] for i in short.tolist()), dtype=np.int64, count=len(short))
+            w = np.fromiter(map(self.words.__getitem__, compress(words, ~long)), dtype=np.int64, count=len(short))
             if len(self.words) > self.root.n:
                 self.root.add(np.zeros(len(self.words) - self.root.n, dtype=np.int64))
             chunk, at = np.unique(w, return_index=True)
@@ -503,8 +506,8 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col
         m = load(model)
         enc = _ENCODERS.setdefault((model, rate, seed), Encoder(m, rate, seed))  # a reused worker keeps its memory
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                b = big.slice(at, 512)
+            for at in range(0, big.num_rows, SLICE):
+                b = big.slice(at, SLICE)
                 texts = b.column("__text").to_pylist()
                 flat, n = enc.encode(texts, b.column("__key").to_pylist())
                 ends = np.cumsum(n)

@@ -80,3 +80,12 @@ def test_spark(spark, docs_of, odd):
     same = [r.ids for r in got if r.doc_id == 4]
     assert same[0] == same[1]
     assert P.encode(docs_of([]), PIECE_MODEL).count() == 0
+
+
+def test_heap_and_block_merging_agree(model, monkeypatch):
+    texts = ["the quick brown foxes jumped over seventeen lazily sleeping dogs " * 3, "Überraschung naïve 東京 xyz▁q", "", None]
+    got = []
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(P, "FEW", few)
+        got.append([x.tolist() for x in P.Encoder(model, 0.3, 7).encode(texts, [1, 2, 3, 4])])
+    assert got[0] == got[1]
