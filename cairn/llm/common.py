@@ -50,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="cairn-")
     atexit.register(shutil.rmtree, made, True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -124,11 +126,17 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def _arrow_uri(uri: str) -> str:
+    """The uri with the scheme that pyarrow knows for it: s3a and s3n are s3 there, abfss is abfs."""
+    scheme, sep, rest = uri.partition("://")
+    return {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + sep + rest if sep else uri
+
+
 def fs_open(uri: str, mode: str):
     """A stream on any filesystem that pyarrow knows; mode r or w."""
     from pyarrow import fs
 
-    f, path = fs.FileSystem.from_uri(uri)
+    f, path = fs.FileSystem.from_uri(_arrow_uri(uri))
     if mode == "r":
         return f.open_input_file(path)
     f.create_dir(os.path.dirname(path), recursive=True)
@@ -138,8 +146,8 @@ def fs_open(uri: str, mode: str):
 def fs_move(a: str, b: str) -> None:
     from pyarrow import fs
 
-    f, pa_ = fs.FileSystem.from_uri(a)
-    _, pb = fs.FileSystem.from_uri(b)
+    f, pa_ = fs.FileSystem.from_uri(_arrow_uri(a))
+    _, pb = fs.FileSystem.from_uri(_arrow_uri(b))
     f.move(pa_, pb)
 
 

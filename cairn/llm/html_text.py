@@ -1,15 +1,18 @@
 """Main text of HTML pages with site template removal.
 
 A page becomes a flat list of balanced events. Structural rules leave out what is marked as no article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments). The subtrees that are left are hashed and counted per host in
-Spark, over pages that differ in their text, so that copies of one article count once; subtrees that recur on a large share
-of a host's pages are its template and are deleted in the second reading.
+footers, sidebars, notices, adverts, forms, scripts, comments); a form around the whole page loses its controls alone. Where the
+page has an article or main part, the one that holds most of its text is read. The subtrees that are left are hashed and
+counted per host in Spark, over pages that differ in their text, so that copies of one article count once; subtrees that recur
+on a large share of a host's pages are its template and are deleted in the second reading. On a host of fewer than MIN_PAGES
+differing pages there is too little to tell a template by, and only the rules decide.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -37,9 +40,10 @@ _BLOCK = frozenset(
 )
 _ENDS_P = _BLOCK - frozenset("body head html title option optgroup caption tbody td tfoot th thead tr".split())
 _OUT = frozenset(
-    "audio aside button canvas datalist dialog embed footer form frame frameset head iframe input map menu nav noembed noframes noscript object progress script "
+    "audio aside button canvas datalist dialog embed footer frame frameset head iframe input map menu nav noembed noframes noscript object progress script "
     "select style svg template textarea title video".split()
 )
+_PAGE_PART = frozenset("article main header footer nav h1".split())  # a form around one of these is the page's, not a form of it
 _CLOSES = {  # a start tag that ends an open one, up to the nearest of the named containers
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
@@ -52,6 +56,10 @@ _BAD = frozenset(
     "recommendations replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 _BAD_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+_BESIDE = frozenset(
+    "area articles bar bottom box button buttons container content count form group header heading icon icons inline inner item items left link links list "
+    "module outer panel posts right row section signup slot stories title top unit widget wrap wrapper".split()
+)  # with one of _BAD they make a name such as related-posts; with other words, as in related-work, the name says nothing
 _ENDS = ("navbar", "topnav", "sidenav", "subnav", "mainnav", "sitenav", "menu", "footer", "sidebar", "adbox")
 _STARTS = ("advert", "breadcrumb", "cookie", "newsletter", "sidebar", "sponsor")
 _PART = re.compile(r"[^a-z0-9]+")
@@ -71,11 +79,14 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name in ("class", "id"):
             for word in value.split():
-                got = _PART.split(word)
+                got = [x for x in _PART.split(word) if x and not x.isdigit()]
                 if tag == "article":
                     if "comment" in got or "comments" in got:
                         return True
-                elif not _BAD.isdisjoint(got) or (not inside and "header" in got):
+                elif inside:
+                    if not _BAD.isdisjoint(got) and all(x in _BAD or x in _BESIDE for x in got) or "".join(got) in _BAD:
+                        return True
+                elif not _BAD.isdisjoint(got) or "header" in got:
                     return True
                 elif any(g.endswith(_ENDS) or g.startswith(_STARTS) for g in got):
                     return True
@@ -86,10 +97,13 @@ def events(page: str) -> list[tuple[int, str, str]]:
     """(0, tag, attributes) at a start, (1, text, '') for text, (2, tag, '') at an end; every start has its end, in order."""
     out: list[tuple[int, str, str]] = []
     stack: list[str] = []
+    opened: Counter = Counter()  # how many of a tag are open, so that the stack is searched only where one is found
 
     def close(to: int) -> None:
         while len(stack) > to:
-            out.append((2, stack.pop(), ""))
+            tag = stack.pop()
+            opened[tag] -= 1
+            out.append((2, tag, ""))
 
     at, n = 0, len(page)
     while at < n:
@@ -104,8 +118,11 @@ def events(page: str) -> list[tuple[int, str, str]]:
             out.append((1, m["d"].replace("&", "&amp;"), ""))
         elif m["e"]:
             tag = m["e"].lower()
-            if tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k] != tag:
+                    k -= 1
+                close(k)
             elif tag == "p":
                 out += [(0, "p", ""), (2, "p", "")]
             elif tag == "br":
@@ -114,12 +131,12 @@ def events(page: str) -> list[tuple[int, str, str]]:
             if m["t"] and not m["x"]:
                 break  # the page ends inside a tag
             tag, attrs = (m["s"] or m["t"]).lower(), m["a"] or m["b"] or ""
-            if tag in _ENDS_P:
+            if tag in _ENDS_P and opened["p"]:
                 _close_p(stack, close)
-            if "head" in stack and (tag in _ENDS_P or tag == "body"):
+            if opened["head"] and (tag in _ENDS_P or tag == "body"):
                 close(stack.index("head"))
             ends = _CLOSES.get(tag)
-            if ends:
+            if ends and any(opened[x] for x in ends[0]):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k] in ends[0]:
                         close(k)
@@ -135,6 +152,7 @@ def events(page: str) -> list[tuple[int, str, str]]:
                 at = end.end() if end else n
             else:
                 stack.append(tag)
+                opened[tag] += 1
     close(0)
     return out
 
@@ -153,39 +171,98 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.events = events(source)
+        self._pair()
         inside_of, self.has_main = self._scopes()
         self.keep: list[bool] = []
         skip = 0
         for k, (kind, tag, attrs) in enumerate(self.events):
             if kind == 0:
-                if skip or _unwanted(tag, attrs, inside_of[k]):
+                if skip or self._unwanted(k, inside_of[k]):
                     skip += 1
             self.keep.append(not skip and (inside_of[k] or not self.has_main))
             if kind == 2 and skip:
                 skip -= 1
 
+    def _pair(self) -> None:
+        """The end of each start, and the forms that hold a part of the page and not just fields."""
+        self.end: dict[int, int] = {}
+        self.page_forms: set[int] = set()
+        starts: list[int] = []
+        forms: list[int] = []
+        for k, (kind, tag, _) in enumerate(self.events):
+            if kind == 0:
+                starts.append(k)
+                if tag == "form":
+                    forms.append(k)
+                elif forms and tag in _PAGE_PART:
+                    self.page_forms.update(forms)
+                    forms.clear()
+            elif kind == 2:
+                at = starts.pop()
+                self.end[at] = k
+                if forms and forms[-1] == at:
+                    forms.pop()
+
+    def _unwanted(self, k: int, inside: bool) -> bool:
+        _, tag, attrs = self.events[k]
+        if tag == "form":
+            return k not in self.page_forms
+        if tag in ("label", "fieldset", "legend") and self.page_forms:
+            return True
+        return _unwanted(tag, attrs, inside)
+
     def _scopes(self) -> tuple[list[bool], bool]:
-        """Whether each event lies in an article that counts, else in main, and whether the page has either."""
-        for want in ("article", "main"):
-            inside, depth, skip, found = [], 0, 0, False
-            for kind, tag, attrs in self.events:
-                if kind == 0:
-                    if skip or _unwanted(tag, attrs, depth > 0):
-                        skip += 1
-                    elif tag == want or (want == "main" and "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs)):
-                        depth += 1
-                        found = True
-                    elif depth:
-                        depth += 1
-                inside.append(depth > 0)
-                if kind == 2:
-                    if skip:
-                        skip -= 1
-                    elif depth:
-                        depth -= 1
-            if found:
-                return inside, True
-        return [False] * len(self.events), False
+        """Whether each event lies in the part of the page that counts, and whether the page marks such a part.
+
+        Of outermost article and main elements that with the most text is taken, and others of at least half as much. A main
+        that holds an article with half of its text or more is left for the article; else its articles are teasers and go.
+        """
+        spans: list[tuple[int, int, int, str]] = []  # start, end, signs of text, tag
+        open_: list[list] = []
+        size = skip = depth = 0
+        for k, (kind, tag, attrs) in enumerate(self.events):
+            if kind == 0:
+                depth += 1
+                if skip or self._unwanted(k, bool(open_)):
+                    skip += 1
+                elif tag in ("article", "main") or ("role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs)):
+                    open_.append([k, depth, size, "article" if tag == "article" else "main"])
+            elif kind == 1:
+                size += 0 if skip else len(tag.split())
+            else:
+                if skip:
+                    skip -= 1
+                elif open_ and open_[-1][1] == depth:
+                    at, _, before, name = open_.pop()
+                    spans.append((at, k, size - before, name))
+                depth -= 1
+        if not any(n for _, _, n, _ in spans):
+            return [False] * len(self.events), False
+        gone: list[tuple[int, int, int, str]] = []
+        spans.sort()
+        mains = [s for s in spans if s[3] == "main"]
+        parts = [s for s in spans if s[3] == "article"]
+        outer: list[tuple[int, int, int, str]] = []
+        for s in parts:
+            if not outer or s[0] > outer[-1][1]:
+                outer.append(s)
+        chosen = outer
+        if mains:
+            best = max(mains, key=lambda s: (s[2], -s[0]))
+            held = [s for s in outer if best[0] < s[0] < best[1]]
+            most = max((s[2] for s in held), default=0)
+            if 2 * most >= best[2] and most:
+                chosen = held
+            elif 2 * best[2] >= max((s[2] for s in outer), default=0):
+                chosen, gone = [best], held
+        most = max(s[2] for s in chosen)
+        chosen = [s for s in chosen if 2 * s[2] >= most]
+        inside = [False] * len(self.events)
+        for at, end, _, _ in chosen:
+            inside[at : end + 1] = [True] * (end + 1 - at)
+        for at, end, _, _ in gone:
+            inside[at : end + 1] = [False] * (end + 1 - at)
+        return inside, True
 
     def hashes(self) -> dict[int, int]:
         """Start event -> hash of tag, class-free structure and text of each kept subtree that has text."""

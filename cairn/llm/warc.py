@@ -11,6 +11,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ REVISIT_MIN = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
-MAX_HEAD = 1 << 16
+BROADCAST_GROUPS = 50_000  # groups of equal payloads whose responses are broadcast, some 10 MB; beyond that they are joined
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -67,7 +68,7 @@ def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower-case names) and block of exactly one record, or Damaged."""
     if not _VERSION.match(data):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", 0, MAX_HEAD)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("no end of header")
     head: dict[str, str] = {}
@@ -126,8 +127,8 @@ class _Window:
         """Bytes start to end from here, as far as they were read."""
         return self.buf[self.pos + start : self.pos + end]
 
-    def find(self, what: bytes, end: int | None = None) -> int:
-        k = self.buf.find(what, self.pos, None if end is None else self.pos + end)
+    def find(self, what: bytes, start: int = 0) -> int:
+        k = self.buf.find(what, self.pos + start)
         return k - self.pos if k >= 0 else -1
 
     def left(self) -> int:
@@ -137,38 +138,106 @@ class _Window:
         self.pos, self.at = self.pos + n, self.at + n
 
 
-def _member(w: _Window) -> tuple[bytes, int]:
-    """The gzip member at the window's start, decompressed, and its length; or Damaged."""
-    d = zlib.decompressobj(31)
-    out, used = [], 0
-    try:
-        while not d.eof:
-            if not w.need(used + 1):
-                raise Damaged("member is cut off")
-            part = w.take(used, used + (1 << 16))
-            out.append(d.decompress(part))
-            used += len(part) - len(d.unused_data)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {str(e)[:60]}") from None
-    return b"".join(out), used
+class _Inflated:
+    """The gzip member at the window's start as a stream; used: its bytes read so far. A fault ends it and is kept."""
+
+    def __init__(self, w: _Window) -> None:
+        self.w, self.d, self.used, self.fault = w, zlib.decompressobj(31), 0, ""
+        self.out, self.marks = 0, deque()  # bytes given out; those before each part that was read, and where it starts
+
+    def done(self, out: int) -> None:
+        """Move the window to the last part that starts within the first `out` bytes given out."""
+        to = 0
+        while self.marks and self.marks[0][0] <= out:
+            to = self.marks.popleft()[1]
+        if to:
+            self.w.skip(to)
+            self.used -= to
+            self.marks = deque((o, u - to) for o, u in self.marks)
+
+    def read(self, n: int) -> bytes:
+        while not self.d.eof and not self.fault:
+            part = self.d.unconsumed_tail
+            if not part:
+                if not self.w.need(self.used + 1):
+                    self.fault = "member is cut off"
+                    break
+                part = self.w.take(self.used, self.used + (1 << 16))
+                self.marks.append((self.out, self.used))
+                self.used += len(part)
+            try:
+                out = self.d.decompress(part, n)
+            except zlib.error as e:
+                self.fault = f"gzip: {str(e)[:60]}"
+                break
+            if self.d.eof:
+                self.used -= len(self.d.unused_data)
+            if out:
+                self.out += len(out)
+                return out
+        return b""
+
+
+def _member(w: _Window) -> Iterator[tuple]:
+    """Records and gaps of the gzip member at the window's start, which may hold any number of them; the window moves along.
+
+    A record that ends the member counts once the member's own checksum holds. What goes wrong later raises Damaged, with
+    the window near the last whole record's end and never past it, or at the end of the member if it is whole but holds no record.
+    """
+    at, z, found, lost = w.at, _Inflated(w), False, ""
+    inner = _Window(z)
+    while inner.need(1):
+        try:
+            data, used = _plain(inner)
+            head, block = decode_record(data)
+            if not inner.need(used + 1) and z.fault:
+                raise Damaged(z.fault)
+        except Damaged as e:
+            lost = lost or str(e)
+            _seek(inner)
+            continue
+        if lost:
+            yield "gap", at, w.at + z.used, lost
+            lost = ""
+        yield "record", at, head, block
+        found = True
+        inner.skip(used)
+        z.done(inner.at)
+    if z.fault:
+        raise Damaged(z.fault)
+    if not found:
+        w.skip(max(0, z.used - 1))
+        raise Damaged(lost or "empty member")
+    w.skip(z.used)
+    if lost:
+        yield "gap", at, w.at, lost
 
 
 def _plain(w: _Window) -> tuple[bytes, int]:
-    """The bytes of the uncompressed record at the window's start, or Damaged."""
-    w.need(MAX_HEAD)
+    """The bytes of the uncompressed record at the window's start, or Damaged. Header lines may have any length."""
+    w.need(16)
     if not _VERSION.match(w.take(0, 16)):
         raise Damaged("no version line")
-    end = w.find(b"\r\n\r\n", MAX_HEAD)
-    if end < 0:
-        raise Damaged("no end of header")
-    n = None
-    for line in w.take(0, end).split(b"\r\n"):
-        if line.lower().startswith(b"content-length:"):
-            v = line.split(b":", 1)[1].strip()
-            n = int(v) if v.isdigit() else None
+    n, at = None, 10
+    while True:
+        end = w.find(b"\r\n", at)
+        while end < 0:
+            have = w.left()
+            if not w.need(have + 1):
+                raise Damaged("no end of header")
+            end = w.find(b"\r\n", max(at, have - 1))
+        line = w.take(at, end)
+        at = end + 2
+        if not line:
+            break
+        name, sep, value = line.partition(b":")
+        if not sep:
+            raise Damaged("header line without a colon")
+        if name.strip().lower() == b"content-length":
+            n = int(value) if value.strip().isdigit() else None
     if n is None:
         raise Damaged("no length")
-    size = end + 4 + n + 4
+    size = at + n + 4
     if not w.need(size):
         raise Damaged("record is cut off")
     return w.take(0, size), size
@@ -177,21 +246,28 @@ def _plain(w: _Window) -> tuple[bytes, int]:
 def read_records(stream) -> Iterator[tuple]:
     """("record", offset, headers, block) for each whole record, ("gap", start, end, reason) for each run of lost bytes.
 
-    Works on gzip members and on plain records, mixed too. Memory: one record and one read block. An empty stream gives
-    nothing; a stream without any record gives one gap. Repeated records are given each.
+    Works on gzip members of one record or many and on plain records, mixed too; records of one member have its offset.
+    Memory: one record and one read block. An empty stream gives nothing; a stream without any record gives one gap.
+    Repeated records are given each.
     """
     w = _Window(stream)
     lost_from, reason = None, ""
     while w.need(1):
+        start, got = w.at, False
         try:
             if w.need(2) and w.take(0, 2) == b"\x1f\x8b":
-                data, used = _member(w)
-            else:
-                data, used = _plain(w)
+                for event in _member(w):
+                    if lost_from is not None:
+                        yield "gap", lost_from, start, reason
+                        lost_from = None
+                    got = True
+                    yield event
+                continue
+            data, used = _plain(w)
             head, block = decode_record(data)
         except Damaged as e:
             if lost_from is None:
-                lost_from, reason = w.at, str(e)
+                lost_from, reason = w.at if got else start, str(e)
             _seek(w)
             continue
         if lost_from is not None:
@@ -224,19 +300,23 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_MIN) -> DataFrame:
 
     Of rows with equal payloads of at least `least` bytes, those with the largest page_id are responses (all of them if
     rows repeat that id), the others revisits; null ids revisit the largest id of their group, if there is one.
-    Groups are found from (digest, page_id) alone with partial sums; only groups of two or more are joined back,
-    and spread over salts, so that a group that holds a third of all rows is no single task.
+    Groups of two or more are found from (digest, page_id, url) alone with partial sums. Up to BROADCAST_GROUPS of them go to
+    all tasks and no payload is moved; more are joined by digest, rows of hot digests spread over salts.
     """
-    salts = 16
     p = pages.select("page_id", "url", common.utf8("html").alias("payload")).withColumn("digest", F.sha1("payload"))
     keyed = p.withColumn("n", F.octet_length("payload"))
     groups = (
         keyed.filter(F.col("n") >= least).groupBy("digest")
         .agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("page_id", "url")).alias("top"))
         .filter("k > 1 and top.page_id is not null")
-        .select("digest", F.col("top.page_id").alias("top_id"), F.col("top.url").alias("top_url"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .select("digest", "k", F.col("top.page_id").alias("top_id"), F.col("top.url").alias("top_url"))
     )
-    out = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(groups, ["digest", "salt"], "left")
+    groups = common.cut(groups, "equal-payloads")
+    if groups.count() <= BROADCAST_GROUPS:
+        out = keyed.join(F.broadcast(groups.drop("k")), "digest", "left")
+    else:
+        hot = [r["digest"] for r in groups.orderBy(F.desc("k")).limit(1000).filter("k > 20000").select("digest").collect()]
+        out = common.salted_join(keyed, groups.drop("k"), "digest", hot)
     revisit = F.col("top_id").isNotNull() & (F.col("n") >= least) & ~F.col("page_id").eqNullSafe(F.col("top_id"))
     return out.select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"),

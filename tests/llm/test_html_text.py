@@ -36,3 +36,41 @@ def test_odd(spark):
     assert len(got) == 5 and {r.text for r in got if r.page_id is None} == {""} and max(r.n_chars for r in got) == 249_999
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_whole_articles_are_kept():
+    assert Page('<body><form id="aspnetForm"><input><label>Find</label><article><p>The text</p></article><button>x</button></form>').text() == "The text"
+    assert Page("<p>a</p><form><p>Your mail</p><input></form>").text() == "a"
+    assert Page('<main><h1>Head</h1><p>Many words of a real text</p></main><article class="card">teaser</article>').text() == "Head\nMany words of a real text"
+    assert Page("<main><h1>Head</h1><p>Many words of a real text</p><article>teaser one</article></main>").text() == "Head\nMany words of a real text"
+    x = "".join(f'<section class="{c}"><p>{c}</p></section>' for c in ("related-work", "notice-board", "share-price")) + '<div id="search-algorithms">s</div>'
+    assert Page(f"<article>{x}<div class='related-posts'>r</div><div class='share'>s</div></article>").text() == "related-work\nnotice-board\nshare-price\ns"
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    t = time.process_time()
+    assert Page("<div>" * 100_000 + "<p>deep<b>er" + "</div>" * 100_000).text() == "deeper"
+    assert time.process_time() - t < 4
+
+
+def test_templates_equal_a_count_by_hand(spark):
+    import random
+    from collections import Counter
+
+    from cairn.llm.html_text import MIN_PAGES, SHARE_PAGE
+
+    r = random.Random(3)
+    rows = []
+    for i in range(200):
+        common_ = "".join(f"<div><p>part {k}</p></div>" for k in range(6) if r.random() < (0.1, 0.25, 0.29, 0.33, 0.6, 1.0)[k])
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<body>{common_}<div><p>own text {i}</p></div></body>"))
+    got = {x.page_id: x.text for x in extract(spark.createDataFrame(rows, DDL)).collect()}
+    seen, pages = Counter(), Counter()
+    for i, _, source in rows:
+        pages[i % 3] += 1
+        seen.update((i % 3, h) for h in set(Page(source).hashes().values()))
+    for i, _, source in rows:
+        gone = {h for (host, h), n in seen.items() if host == i % 3 and n >= MIN_PAGES and n >= SHARE_PAGE * pages[host]}
+        assert got[i] == Page(source).text(gone)

@@ -62,3 +62,32 @@ def test_spark_round_trip(spark, tmp_path):
         assert (by[i].payload_bytes, by[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
     assert by[3].url is None and by[6].url == "u  X: y"
     assert W.read_archives(spark, W.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_many_records_in_one_member():
+    parts = [record(i, bytes([65 + i]) * 3000) for i in range(5)]
+    assert read(gzip.compress(b"".join(parts))) == ([0, 1, 2, 3, 4], [])
+    bad = parts[1].replace(b"BBB", b"BxB", 1)
+    ids, gaps = read(gzip.compress(b"".join([parts[0], bad, *parts[2:]])) + gzip.compress(record(7)))
+    assert ids == [0, 2, 3, 4, 7] and len(gaps) == 1 and "digest" in gaps[0][2]
+    noise = [b"".join(hashlib.sha256(b"%d %d" % (i, k)).hexdigest().encode() for k in range(2000)) for i in range(9)]
+    ids, gaps = read(gzip.compress(b"".join(record(i, x) for i, x in enumerate(noise)))[:-2000] + gzip.compress(record(70)) + record(71))
+    assert ids == [*range(8), 70, 71] and len(gaps) == 1
+
+
+def test_long_header_lines(spark, tmp_path):
+    url = "http://h/" + "u" * 70_000
+    pages = spark.createDataFrame([(1, url, "<p>x</p>")], "page_id long, url string, html string")
+    got = W.read_archives(spark, W.write_archives(pages, f"file://{tmp_path}/w")).collect()
+    assert [(r.page_id, r.url, r.reason) for r in got] == [(1, url, None)]
+    head = W.encode_record([("WARC-Type", "metadata"), ("X-Long", "v" * 3_000_000)], b"")
+    assert [k for k, *_ in W.read_records(io.BytesIO(head))] == ["record"]
+
+
+def test_groups_over_the_broadcast_bound(spark, monkeypatch):
+    big = "<p>é</p>" * 400
+    pages = spark.createDataFrame([(i, f"http://h/{i}", big + str(i % 3)) for i in range(30)], "page_id long, url string, html string")
+    want = sorted(W.with_revisits(pages).select("page_id", "kind", "refers_to").collect())
+    monkeypatch.setattr(W, "BROADCAST_GROUPS", 1)
+    assert sorted(W.with_revisits(pages).select("page_id", "kind", "refers_to").collect()) == want
+    assert sum(k == "response" for _, k, _ in want) == 3
