@@ -151,8 +151,11 @@ def fs_move(a: str, b: str) -> None:
     f.move(pa_, pb)
 
 
-def by_key(batches, keys: tuple[str, ...]):
-    """Runs of rows with equal keys from sorted batches: (first row's keys, list of record batches)."""
+def by_key(batches, keys: tuple[str, ...], most: int | None = None):
+    """Runs of rows with equal keys from sorted batches: (first row's keys, list of record batches).
+
+    A run of over `most` rows comes in several parts, each of most rows and one batch at the utmost.
+    """
     held: list[pa.RecordBatch] = []
     now = None
     for b in batches:
@@ -164,7 +167,7 @@ def by_key(batches, keys: tuple[str, ...]):
         at = np.append(np.flatnonzero(new), b.num_rows)
         for s, e in zip(at, at[1:]):
             key = tuple(c[s] for c in cols)
-            if key != now and held:
+            if held and (key != now or (most and sum(x.num_rows for x in held) >= most)):
                 yield now, held
                 held = []
             now = key

@@ -6,13 +6,14 @@ saturated and may be twice as long in the next round. Links over the threshold j
 always share one, so the links of every node are then counted exactly, in blocks, within its component: lists that were
 still saturated lose nothing. Deeper trees part more pairs, so there are more of them. Rounds go on until the lists hardly change.
 Then a sample of nodes, enlarged until it has links enough, is held against all others by brute force; while too few of its
-links lie within components, another round follows, from fresh trees. What was not reached is reported.
+links lie within components, another round follows, from fresh trees. If the audit still fails after the last round, all
+pairs of a label are compared in blocks instead, which is exact.
 """
 
 from __future__ import annotations
 
+import logging
 import math
-import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import common
-from cairn.llm.components import components
+from cairn.llm.components import components, forest
 
 K = 12
 TREES, MISS = 4, 0.005  # trees at least, and the chance that a pair at the threshold shares no leaf
 LEAF = 512  # nodes per leaf, aimed at
 CHUNK = 1024  # nodes compared at once
+BLOCK = 4096  # nodes of a component sent together
 FLOOR = 0.5  # pairs under it are no news to a list
 ROUNDS, MAX_ROUNDS = 2, 6
 CHANGED = 0.001  # share of new list entries under which the lists are at rest
@@ -108,7 +110,7 @@ def leaves(nodes: DataFrame, seed: int, threshold: float, k: int = K) -> DataFra
                     yield pa.RecordBatch.from_arrays(cols, names=["t", "grp", "leaf", "node", "vec"]).filter(pa.array(t < wanted))
 
     def best(batches):
-        for _, held in common.by_key(batches, ("t", "grp", "leaf")):
+        for _, held in common.by_key(batches, ("t", "grp", "leaf"), 4 * CHUNK):
             part = pa.Table.from_batches(held).combine_chunks()
             for at in range(0, part.num_rows, CHUNK):
                 b = part.slice(at, CHUNK).combine_chunks().to_batches()[0]
@@ -117,7 +119,8 @@ def leaves(nodes: DataFrame, seed: int, threshold: float, k: int = K) -> DataFra
                     yield _edges(*_best(b.column("node").to_numpy(), x, k, np.full(len(x), FLOOR)))
 
     signed = src.mapInArrow(sign, "t int, grp long, leaf long, node long, vec array<double>")
-    laid = signed.repartition(common.parts(nodes.sparkSession), "t", "grp", "leaf").sortWithinPartitions("t", "grp", "leaf")
+    # a cone that planes don't split is one large leaf: its chunks are drawn anew in each tree
+    laid = signed.repartition(common.parts(nodes.sparkSession), "t", "grp", "leaf").sortWithinPartitions("t", "grp", "leaf", F.xxhash64("node", "t", F.lit(seed)))
     return laid.mapInArrow(best, EDGE)
 
 
@@ -126,7 +129,8 @@ def trim(edges: DataFrame, threshold: float, k: int, most: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
     once = both.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     rank = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return once.withColumn("r", F.row_number().over(rank)).filter((F.col("r") <= k) | ((F.col("sim") >= threshold) & (F.col("r") <= most))).select("u", "v", "sim")
+    first = once.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= most)  # a hub's reverse list is cut before it is moved
+    return first.filter((F.col("r") <= k) | (F.col("sim") >= threshold)).select("u", "v", "sim")
 
 
 def improve(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -203,34 +207,56 @@ def audited(nodes: DataFrame, comp: DataFrame, threshold: float, total: int) ->
     return enough and found >= TARGET * links, f"{found} of {links} links of {min(sample, total)} among {total} nodes found"
 
 
+def _blocked(member: DataFrame) -> DataFrame:
+    """member (comp, node, w, vec) laid out by comp, b1, b2: a component over BLOCK nodes is cut in blocks that meet two by two."""
+    n = member.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    row = member.join(n.select("comp", "blocks"), "comp").withColumn("b", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    row = row.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = row.select("comp", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "node", "w", "vec")
+    return row.repartition(common.parts(member.sparkSession), "comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "b")
+
+
+def _near(batches, threshold: float):
+    """(nodes, weights, i, j) of the pairs i < j within the threshold, CHUNK rows of a pair of blocks at a time."""
+    for (_, b1, b2), held in common.by_key(batches, ("comp", "b1", "b2")):
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        x, w, node = _unit(b.column("vec"), b.num_rows), b.column("w").to_numpy(), b.column("node").to_numpy()
+        cut = 0 if b1 == b2 else int((b.column("b").to_numpy() == b1).sum())  # rows of the first block come first
+        for at in range(0, cut or len(node), CHUNK):
+            rows = x[at : min(at + CHUNK, cut or len(node))]
+            i, j = np.nonzero(rows @ x[cut:].T >= threshold)
+            i, j = i + at, j + cut
+            ok = i < j
+            yield node, w, i[ok], j[ok]
+
+
 def count_links(member: DataFrame, threshold: float) -> DataFrame:
     """node, linked: the summed weights of the other nodes of its component that lie within the threshold, exactly.
 
-    member: comp, node, w, vec. A component over CHUNK nodes is cut in blocks that meet two by two, each pair of
-    blocks its own group; only one count per node and group comes out, never the pairs.
+    member: comp, node, w, vec. Only one count per node and step comes out, never the pairs. A vector of a component of m
+    nodes is sent m / BLOCK times.
     """
-    n = member.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    row = member.join(n.select("comp", "blocks"), "comp").withColumn("b", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    row = row.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    row = row.select("comp", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", "node", "w", "vec")
-    laid = row.repartition(common.parts(member.sparkSession), "comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "b")
 
     def count(batches):
-        for (_, b1, b2), held in common.by_key(batches, ("comp", "b1", "b2")):
-            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            x, w, node = _unit(b.column("vec"), b.num_rows), b.column("w").to_numpy(), b.column("node").to_numpy()
-            if b1 == b2:
-                near = (x @ x.T) >= threshold
-                np.fill_diagonal(near, False)
-                got = near @ w
-            else:
-                first = b.column("b").to_numpy() == b1
-                near = (x[first] @ x[~first].T) >= threshold
-                got = np.empty(len(node), dtype=np.int64)
-                got[first], got[~first] = near @ w[~first], near.T @ w[first]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(got, pa.int64())], names=["node", "linked"])
+        for node, w, i, j in _near(batches, threshold):
+            got = np.bincount(i, w[j], len(node)) + np.bincount(j, w[i], len(node))
+            some = np.flatnonzero(got)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(got[some].astype(np.int64))], names=["node", "linked"])
+
+    return _blocked(member).mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
-    return laid.mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+def exact_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """u, v: links that connect exactly what all links within the threshold connect, from all pairs of a group in blocks."""
+
+    def link(batches):
+        for node, _, i, j in _near(batches, threshold):
+            if len(i):
+                u, v = forest(node[i], node[j])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return _blocked(nodes.select(F.col("grp").alias("comp"), "node", "w", "vec")).mapInArrow(link, "u long, v long")
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
@@ -261,10 +287,13 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
         comp = common.cut(comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct()), "vec-comp")
         passed, figures = audited(nodes, comp, threshold, n_nodes)
         if passed:
+            logging.getLogger(__name__).info("audit after %s rounds: %s", r, figures)
             break
         asked = True
     else:
-        warnings.warn(f"near_vectors: after {MAX_ROUNDS} rounds the audit is not passed: {figures}", RuntimeWarning, stacklevel=2)
+        logging.getLogger(__name__).warning("after %s rounds the audit is not passed (%s): all pairs are compared", MAX_ROUNDS, figures)
+        comp = components(exact_links(nodes, threshold))
+        comp = common.cut(comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct()), "vec-comp")
     member = nodes.join(comp.withColumnRenamed("root", "comp"), "node").select("comp", "node", "w", "vec", "least")
     low = member.groupBy("comp").agg(F.min("least").alias("low"))
     known = member.select("node", "comp").join(low, "comp").join(count_links(member.drop("least"), threshold), "node").select("node", "low", "linked")

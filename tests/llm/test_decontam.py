@@ -67,3 +67,44 @@ def test_blocks(spark, docs_of, monkeypatch):
     docs = docs_of([" ".join(f"w{i}x{k}" for k in range(10)) for i in range(20)])
     monkeypatch.setattr(D, "BLOCK_BYTES", 300)
     assert sorted((r.doc_id, r.item_id) for r in D.matches(docs, bench).collect()) == [(i, i) for i in range(20)]
+
+
+def test_one_length_at_a_time_gives_the_same_tiles(monkeypatch):
+    random.seed(9)
+    for _ in range(200):
+        v = random.choice([2, 3, 8])
+        p = np.array([random.randrange(v) for _ in range(random.randrange(1, 40))])
+        t = np.array([random.randrange(-1, v) for _ in range(random.randrange(1, 80))])
+        monkeypatch.setattr(D, "PAIRS", 1 << 20)
+        want = D.tiles(p, t, 3)
+        monkeypatch.setattr(D, "PAIRS", 0)
+        assert D.tiles(p, t, 3) == want
+
+
+def test_repeats_are_bounded():
+    import tracemalloc
+
+    m = D.build([(1, "word " * 2000)], 4)
+    tracemalloc.start()
+    assert len(D.scan_text("word " * 20_000, m, 0.6)) == 1
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_short_repeated_and_unsegmented_items(spark, docs_of):
+    bench = spark.createDataFrame([("a", "two words"), ("a", "two words"), ("b", "一个十七个字的测试句子在这里啊对吧"), ("c", "...")], "item_id string, text string").withColumn("coverage", F.lit("clash"))
+    docs = docs_of(["here are two words", "two other words", "前面一个十七个字的测试句子在这里啊对吧后面", "..."]).withColumn("item_id", F.lit(1)).withColumn("spans", F.lit(2))
+    got = sorted((r.doc_id, r.item_id) for r in D.matches(docs, bench).collect())
+    assert got == [(0, "a"), (0, "a"), (2, "b")]
+
+
+def test_pairs_equal_brute_force(spark, docs_of):
+    random.seed(2)
+    vocab = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(random.choices(vocab, k=random.randrange(4, 14)))) for i in range(12)]
+    texts = [" ".join(random.choices(vocab, k=20)) if k % 3 else " x ".join([items[k % 12][1], items[(k + 5) % 12][1]]) for k in range(40)]
+    got = {(r.doc_id, r.item_id) for r in D.matches(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    number = {w: i for i, w in enumerate([*vocab, "x"])}
+    to = lambda s: [number[w] for w in s.split()]
+    want = {(d, i) for d, x in enumerate(texts) for i, y in items if naive(to(y), to(x), 4) >= 0.6 * len(to(y)) - 1e-9}
+    assert got == want and want

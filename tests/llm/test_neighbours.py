@@ -76,3 +76,16 @@ def test_audit_without_links_is_no_pass(spark, monkeypatch):
     assert not N.audited(nodes, none, 0.999999, 40)[0]
     monkeypatch.setattr(N, "MOST_AUDIT", 100)
     assert N.audited(nodes, none, 0.999999, 40)[0]
+
+
+def test_failed_audit_compares_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "TARGET", 2.0)  # never met
+    monkeypatch.setattr(N, "MAX_ROUNDS", 2)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "CHUNK", 4)
+    monkeypatch.setattr(N, "leaves", lambda nodes, *a, **k: nodes.sparkSession.createDataFrame([], N.EDGE))  # nothing is found
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((20, 16))
+    rows = [(i, (base[i % 20] + 0.15 * rng.standard_normal(16)).tolist(), i % 2) for i in range(160)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in N.near_vectors(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == brute(rows)
