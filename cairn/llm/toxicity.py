@@ -284,12 +284,15 @@ def keep_clean(docs: DataFrame, model: dict | None, threshold: float, text_col:
 
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> dict | None:
-    """Train on labels outside the held-out fold (crc32 of the id as text, mod folds); votes come from all docs."""
+    """Train on labels outside the held-out fold (crc32 of the id as text, mod folds); votes come from all docs.
+
+    Labels that differ for one id count as toxic; of several texts of one id the least in order is taken. None without labels.
+    """
     lab = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(common.crc_mod("doc_id", folds) != held)
     # the SAMPLE ids lowest in hash: only ids are ranked, texts are not gathered in one place
-    ids = lab.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(SAMPLE)
+    ids = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", "text").filter("text is not null")
-    rows = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # a repeated id counts once
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # a repeated id counts once
     return train(docs, rows.select("text", "toxic"))
 
 
