@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -151,6 +152,20 @@ def fs_move(a: str, b: str) -> None:
     f.move(pa_, pb)
 
 
+def frugal(run):
+    """run for mapInArrow, which gives freed memory back to the system at its end: the worker stays for other tasks."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
+
+
 def by_key(batches, keys: tuple[str, ...], most: int | None = None):
     """Runs of rows with equal keys from sorted batches: (first row's keys, list of record batches).
 

@@ -270,7 +270,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, l
                     kinds = [b.column("__id").type, item_kind, pa.float64(), pa.int32(), pa.int32(), span]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["__id", "item_id", "coverage", "n_tiles", "longest_tile", "spans"])
 
-        part = src.mapInArrow(run, schema)
+        part = src.mapInArrow(common.frugal(run), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -286,5 +286,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
                 keep = [not scan_text(t, shared.value, coverage) for t in b.column(text_col).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.frugal(run), docs.schema)
     return docs

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from cairn.llm import common
 
 SPACE = "▁"
-CACHE = 400_000  # chunks a worker remembers, and half of the entries
+CACHE = 250_000  # chunks a worker remembers, and half of the entries
 MEMO = 16  # longer chunks are not remembered under dropout
 BLOCK = 200_000  # occurrences whose skips are drawn at once
 LONG = 64  # longer chunks are merged one by one on a heap
-SLICE = 2_048  # texts encoded at once, of a batch that is bounded in bytes
+SLICE = 1_024  # texts encoded at once, of a batch that is bounded in bytes
 FEW = 1_200  # chunks under which each is merged on a heap: an array step costs as much for one row as for many
 _CHUNK = re.compile(r" *[^ ]+| +")
 
@@ -79,6 +79,9 @@ class Pieces:
                 self.sign[ord(p)] = i
         self.sign[32] = self.id.get(SPACE, -1)
         self.bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
+        self.byte_pool = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.byte_count = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.byte_start = np.cumsum(self.byte_count) - self.byte_count
         self._hash_table(keys, np.array([best[int(k)] for k in keys], dtype=np.int64))
 
     def _hash_table(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -474,11 +477,14 @@ class Encoder:
         return spread(pool, start, per_word), total[ends] - total[ends - n]
 
 
+def decoded(ids: np.ndarray, m: Pieces) -> bytes:
+    """The UTF-8 bytes of the text that was encoded."""
+    return spread(m.byte_pool, m.byte_start[ids], m.byte_count[ids])[1:].tobytes()
+
+
 def decode(ids, m: Pieces) -> str | None:
     """The text that was encoded, sign for sign."""
-    if ids is None:
-        return None
-    return b"".join(map(m.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+    return None if ids is None else decoded(np.asarray(ids, dtype=np.int64), m).decode("utf-8", "surrogatepass")
 
 
 # ---------------------------------------------------------------- Spark
@@ -513,8 +519,7 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col
                 ends = np.cumsum(n)
                 same = [None] * len(texts)
                 if check:
-                    all_ids = flat.tolist()
-                    same = [None if t is None else decode(all_ids[e - k : e], m) == t for t, k, e in zip(texts, n.tolist(), ends.tolist())]
+                    same = [None if t is None else decoded(flat[e - k : e], m) == t.encode("utf-8", "surrogatepass") for t, k, e in zip(texts, n.tolist(), ends.tolist())]
                 null = np.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.int32()))
                 if null.any():
@@ -525,4 +530,4 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("__key"), F.col(text_col).alias("__text"))
-    return src.mapInArrow(run, f"__id {kind}, n_pieces int, ids array<int>, lossless boolean").withColumnRenamed("__id", id_col)
+    return src.mapInArrow(common.frugal(run), f"__id {kind}, n_pieces int, ids array<int>, lossless boolean").withColumnRenamed("__id", id_col)

@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    return src.mapInArrow(run, f"__id {kind}, " + ", ".join(f"fp{k} bigint" for k in range(len(seeds))))
+    return src.mapInArrow(common.frugal(run), f"__id {kind}, " + ", ".join(f"fp{k} bigint" for k in range(len(seeds))))
 
 
 # ---------------------------------------------------------------- index
@@ -218,7 +218,7 @@ def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool
         if rows:
             yield from emit(dict(zip(names, (np.concatenate(x) for x in zip(*held)))))
 
-    return _bucketed(fps, masks).mapInArrow(run, "u bigint, v bigint")
+    return _bucketed(fps, masks).mapInArrow(common.frugal(run), "u bigint, v bigint")
 
 
 # ---------------------------------------------------------------- operators
@@ -294,7 +294,7 @@ def _sets(rows: DataFrame, words: int, text_col: str) -> DataFrame:
             flat = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column("__row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "s"])
 
-    return rows.select("__row", F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, "node long, s array<long>")
+    return rows.select("__row", F.col(text_col).cast("binary").alias("__text")).mapInArrow(common.frugal(run), "node long, s array<long>")
 
 
 SAMPLE, HOT_IN, MOST_HOT = 4_000, 4, 100_000  # texts looked at for frequent shingles, texts one must stand in, shingles kept
@@ -384,7 +384,7 @@ def sketches(rows: DataFrame, hot: np.ndarray, words: int, similarity: float, id
                     yield pa.RecordBatch.from_arrays([*none[:3], mk, n, none[3], tk, ps], names=names)
 
     src = rows.select("__row", F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("__text"))
-    return src.mapInArrow(run, f"__row long, id {kind}, key string, mark long, n int, bits binary, token long, pos int")
+    return src.mapInArrow(common.frugal(run), f"__row long, id {kind}, key string, mark long, n int, bits binary, token long, pos int")
 
 
 def _groups(batches, keys: tuple[str, ...], names: tuple[str, ...]):
@@ -431,7 +431,7 @@ def sharing(entries: DataFrame, similarity: float) -> DataFrame:
             prev = pa.array(np.roll(c["mark"], 1)[many], mask=~has[many])
             yield pa.RecordBatch.from_arrays([*(pa.array(c[k][many]) for k in names), prev], names=[*names, "prev"])
 
-    return laid.mapInArrow(run, PREFIX + ", prev long")
+    return laid.mapInArrow(common.frugal(run), PREFIX + ", prev long")
 
 
 def across(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -447,7 +447,7 @@ def across(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 
     big = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("t1"), F.max("tag").alias("t2")).filter("t1 != t2")
     row = entries.join(big.select("token", F.ceil(F.col("k") / HOT_BUCKET).cast("int").alias("m")), "token")
-    row = row.join(nodes.select("node", "bits").filter("bits is not null").mapInArrow(short, "node long, bits binary"), "node")
+    row = row.join(nodes.select("node", "bits").filter("bits is not null").mapInArrow(common.frugal(short), "node long, bits binary"), "node")
     row = row.withColumn("c", F.pmod(F.xxhash64("node", F.lit(8)), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     row = row.select("token", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "node", "n", "pos", "tag", "bits")
     laid = row.repartition(common.parts(entries.sparkSession), "token", "c1", "c2").sortWithinPartitions("token", "c1", "c2", "n")
@@ -465,7 +465,7 @@ def across(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
             total = np.cumsum(width)
             at = 0
             while at < len(width):
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE * 8, "right")))
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE * 2, "right")))
                 w = width[at:to]
                 i = np.repeat(np.arange(at, to), w)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
@@ -482,7 +482,7 @@ def across(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
                 at = to
 
-    return laid.mapInArrow(run, "u long, v long").distinct()
+    return laid.mapInArrow(common.frugal(run), "u long, v long").distinct()
 
 
 FAMILY = 128  # nodes of a candidate family in one block
@@ -503,7 +503,7 @@ def near_bits(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
                 ok[k] = apart(x[k].as_py(), y[k].as_py()) <= most[k]
             yield b.select(["u", "v"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(common.frugal(run), "u long, v long")
 
 
 def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
@@ -543,7 +543,7 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, t
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return laid.mapInArrow(run, "u long, v long")
+    return laid.mapInArrow(common.frugal(run), "u long, v long")
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -582,6 +582,8 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     hot = [r["key"] for r in keep.filter((F.col("n") > total / 1000) & (F.col("n") > 20_000)).select("key").collect()]  # under 1000
     gone = common.salted_join(flat.select("key", "__row"), keep.select("key", "keep"), "key", hot, "inner").filter(F.col("__row") != F.col("keep"))
     gone = common.cut(gone.select("__row"), "gone")
+    for done in (made, nodes, near, rest, keep):
+        common.drop(done)
     marked = sieve(rows, gone)
     doubtful = marked.filter("__maybe").join(gone, "__row", "left_anti")
     return marked.filter("not __maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))

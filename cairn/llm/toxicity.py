@@ -67,7 +67,7 @@ def induce(sample: DataFrame) -> dict[str, frozenset]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return {}
-    counted = sample.select("text", "toxic").mapInArrow(_count_units, "e string, p long, q long").groupBy("e").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counted = sample.select("text", "toxic").mapInArrow(common.frugal(_count_units), "e string, p long, q long").groupBy("e").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     both = counted.filter(F.col("p") >= max(3.0, MIN_TOXIC_SHARE * n1))
     odds = F.log((F.col("p") + 0.1) / (n1 + 0.2)) - F.log((F.col("q") + 0.5) / (n0 + 1.0))
     z = odds / F.sqrt(1 / (F.col("p") + 0.1) + 1 / (F.col("q") + 0.5))
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> dict | None:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["v", "n"])
 
-    counted = docs.select("text").mapInArrow(votes, "v array<int>, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()  # at most 3^7 rows
+    counted = docs.select("text").mapInArrow(common.frugal(votes), "v array<int>, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()  # at most 3^7 rows
 
     def features(batches):
         memo = Memo(shared.value)
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> dict | None:
                 [pa.array([list(v) for v, _ in got], pa.list_(pa.int32())), pa.array([list(x) for _, x in got], pa.list_(pa.float64())), b.column("toxic")], names=["v", "x", "toxic"]
             )
 
-    rows = lab.mapInArrow(features, "v array<int>, x array<double>, toxic int").collect()  # at most SAMPLE rows
+    rows = lab.mapInArrow(common.frugal(features), "v array<int>, x array<double>, toxic int").collect()  # at most SAMPLE rows
     y = np.array([r["toxic"] for r in rows])
     known = np.array([r["v"] for r in rows])
     lm = fit_label_model(np.array([r["v"] for r in counted]), np.array([float(r["n"]) for r in counted]), known, y)
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(linear_score(x, shared.value["linear"]))], names=["__id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, f"__id {kind}, score double").withColumnRenamed("__id", id_col)
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(common.frugal(run), f"__id {kind}, score double").withColumnRenamed("__id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: dict | None, threshold: float, text_col: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def keep_clean(docs: DataFrame, model: dict | None, threshold: float, text_col:
             x = np.array([measure(t, memo)[1] for t in texts]).reshape(len(texts), N_FEATURES)
             yield b.filter(pa.array(linear_score(x, shared.value["linear"]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)
 
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> dict | None:
