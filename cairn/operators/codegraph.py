@@ -45,6 +45,18 @@ def topology(calls: DataFrame, points: DataFrame) -> DataFrame:
     return keyed.join(points.select("endpoint_id", "path"), "path").select("call_id", "endpoint_id").distinct()
 
 
+def topology_paths(calls: DataFrame, points: DataFrame, id_col: str) -> DataFrame:
+    """path, n_calls, n_endpoints, first_call, first_endpoint, n_links: what topology() links, told by path.
+
+    All calls and endpoints of a path are linked, so counts stand for their pairs, which would grow with the square.
+    """
+    ends = topology(calls.groupBy("url").agg(F.count(F.lit(1)).alias("n")).select("url", F.col("url").alias("call_id")), points.select("path").distinct().withColumn("endpoint_id", F.col("path")))
+    by_url = calls.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("least"))
+    c = ends.withColumnRenamed("call_id", "url").join(by_url, "url").groupBy(F.col("endpoint_id").alias("path")).agg(F.sum("n").alias("n_calls"), F.min("least").alias("first_call"))
+    e = points.groupBy("path").agg(F.count(F.lit(1)).alias("n_endpoints"), F.min(id_col).alias("first_endpoint"))
+    return c.join(e, "path").withColumn("n_links", F.col("n_calls") * F.col("n_endpoints"))
+
+
 def resolve_entity(entities: DataFrame, wanted: str) -> DataFrame:
     """The entity of that name or id, else the first whose name contains it (any case)."""
     w = wanted.strip().lower()

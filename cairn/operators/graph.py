@@ -8,6 +8,7 @@ group in a grouped map; betweenness runs one breadth-first search per source ove
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,8 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cairn-graph-")
         atexit.register(shutil.rmtree, base, True)
         base = f"file://{base}"
@@ -48,7 +51,7 @@ def dead_code(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, start: list, depth: int, reverse: bool = False) -> DataFrame:
     """id, hops: nodes within depth hops of any start; a start node itself only if a cycle leads back to it."""
     e = edges.select(F.col("dst").alias("a"), F.col("src").alias("b")) if reverse else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    e = e.distinct()
+    e = durable(e.distinct())
     spark = edges.sparkSession
     front = spark.createDataFrame([(x,) for x in start], "a " + e.schema["a"].dataType.simpleString())
     seen = None
@@ -75,16 +78,19 @@ def reach_bounded(edges: DataFrame, start, depth: int, cap: int, reverse: bool =
     return ranked.withColumn("truncated", n > cap).withColumn("__r", rn).filter(F.col("__r") <= cap).drop("__r")
 
 
-def shortest_path(edges: DataFrame, a, b, depth: int = 12) -> DataFrame:
-    """step, id of a shortest path from a to b, both included; of equal ones that with the smallest parents. No rows if none."""
+def shortest_path(edges: DataFrame, a, b) -> DataFrame:
+    """step, id of a shortest path from a to b, both included; of equal ones that with the smallest parents. No rows if none.
+
+    The search ends at b or when no new node is reached, whatever the length.
+    """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     if a == b:
         return spark.createDataFrame([(0, a)], f"step int, id {kind}")
-    e = edges.select("src", "dst").distinct()
+    e = durable(edges.select("src", "dst").distinct())
     seen = spark.createDataFrame([(a, None, 0)], f"id {kind}, parent {kind}, hops int")
     front = seen
-    for hop in range(1, depth + 1):
+    for hop in itertools.count(1):
         nxt = e.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         nxt = durable(nxt.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
         if nxt.isEmpty():
@@ -97,7 +103,6 @@ def shortest_path(edges: DataFrame, a, b, depth: int = 12) -> DataFrame:
                 row = seen.filter((F.col("id") == at) & (F.col("hops") == step)).select("parent").first()
                 at = row["parent"]
             return spark.createDataFrame(sorted(path), f"step int, id {kind}")
-    return spark.createDataFrame([], f"step int, id {kind}")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tol: float | None = None, seeds: list | None = None, every: int = 5) -> DataFrame:
@@ -202,8 +207,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = not jump.filter("c != d").isEmpty()
         lab = jump.select("id", F.col("d").alias("c"))
         if not moved:
-            break
-    return lab.select("id", F.col("c").alias("component"))
+            return lab.select("id", F.col("c").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _louvain(pairs: list[tuple], passes: int) -> dict:

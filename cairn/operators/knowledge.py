@@ -107,17 +107,22 @@ def first_writes(requests: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- hierarchy
-def path_to_root(nodes: DataFrame, ids: DataFrame, depth: int = 16) -> DataFrame:
-    """seed, id, up: every seed's chain of parents, the seed itself at 0. Ends when no chain grows any more."""
-    parent = nodes.select("id", "parent_id")
-    chain = ids.select(F.col("id").alias("seed"), "id").withColumn("up", F.lit(0))
+def path_to_root(nodes: DataFrame, ids: DataFrame, depth: int = 64) -> DataFrame:
+    """seed, id, up: every seed's chain of parents, the seed itself at 0. Ends when no chain grows any more.
+
+    A chain over depth, as a circle of parents gives, raises ValueError.
+    """
+    from cairn.operators.graph import durable
+
+    parent = nodes.filter("parent_id is not null").select("id", "parent_id")
+    chain = durable(ids.select(F.col("id").alias("seed"), "id").withColumn("up", F.lit(0)))
     front, out = chain, chain
     for d in range(1, depth + 1):
-        front = front.join(parent, "id").filter("parent_id is not null").select("seed", F.col("parent_id").alias("id"), F.lit(d).alias("up"))
+        front = durable(front.join(parent, "id").select("seed", F.col("parent_id").alias("id"), F.lit(d).alias("up")))  # the frontier alone
         if front.isEmpty():
-            break
+            return out
         out = out.unionByName(front)
-    return out
+    raise ValueError(f"a chain of parents is longer than {depth}")
 
 
 def lca(paths: DataFrame, n_seeds: int) -> DataFrame:
@@ -149,13 +154,16 @@ def dangling(relations: DataFrame, ids: DataFrame) -> DataFrame:
     return s.unionByName(o)
 
 
-def on_cycles(broader: DataFrame, rounds: int = 64) -> DataFrame:
-    """id: nodes of broader(child, parent) that are left when nodes without a child, or without a parent, are peeled off."""
+def on_cycles(broader: DataFrame) -> DataFrame:
+    """id: nodes of broader(child, parent) that are left when nodes without a child, or without a parent, are peeled off.
+
+    These lie on cycles or between two of them. Peeling goes on until nothing falls away, so a chain of any length is no cycle.
+    """
     from cairn.operators.graph import durable
 
     e = durable(broader.select("child", "parent").distinct())
     n = e.count()
-    for _ in range(rounds):
+    while n:
         e2 = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
         e2 = durable(e2.select("child", "parent"))
         m = e2.count()
@@ -197,9 +205,9 @@ def reflection(memories: DataFrame, scope: list[str], show: int = 3) -> DataFram
     """
     a = memories.filter("status = 'active'")
     head = F.col("h")
-    first = a.select(*scope, "id", F.substring("text", 1, 40).alias("t")).withColumn("r", F.row_number().over(Window.partitionBy(*scope).orderBy("id"))).filter(F.col("r") <= show)
+    first = a.select(*scope, "id", F.substring("text", 1, 40).alias("t")).withColumn("r", F.row_number().over(Window.partitionBy(*scope).orderBy("id"))).filter(F.col("r") <= show)  # group limit before the shuffle
     said = first.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("h"))
-    n = a.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long")).alias("digest"))
+    n = a.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id", "text")).alias("digest"))
     return n.join(said, scope).select(*scope, "digest", F.concat(F.col("n").cast("string"), F.lit(" active memories: "), F.array_join(F.transform(head, lambda x: x["t"]), "; ")).alias("content"), F.lit(0.5).alias("confidence"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
 from cairn.operators import filters
+from cairn.operators.graph import durable
+from cairn.sources.domain import spread
 
 
 def candidates(df: DataFrame, lane: str, target_type: str, k: int, *order) -> DataFrame:
@@ -48,8 +50,15 @@ def facts(memories: DataFrame, query: str, now: int, limit: int, budget: int | N
     order = (F.desc("total"), F.desc("created_s"), F.asc("id"))
     # the k best alone are ranked; the rest need no order
     best = ok.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    rest = ok.join(best.select("id"), "id", "left_anti").withColumn("rank", F.lit(None).cast("long")).withColumn("reason", F.lit("budget_exceeded"))
-    return best.unionByName(rest).unionByName(scored.filter("reason is not null").withColumn("rank", F.lit(None).cast("long")))
+    out = scored.join(F.broadcast(best.select("id", "rank")), "id", "left")  # k rows
+    return out.withColumn("reason", F.when(F.col("reason").isNull() & F.col("rank").isNull(), "budget_exceeded").otherwise(F.col("reason"))).select(*scored.columns, "rank")
+
+
+def facts_lane(memories: DataFrame, query: str, now: int, k: int = 20) -> DataFrame:
+    """The k best records by keyword score as candidates; records left out by policy take no place."""
+    ok = memories.withColumn("raw_score", keyword_score(query)).filter(F.col("raw_score").isNotNull() & filters.omit_reason(now).isNull())
+    s = ok.select(F.col("id").alias("target_id"), F.col("text").alias("content"), "raw_score", "created_s")
+    return candidates(s, "facts", "memory", k, F.desc("raw_score"), F.desc("created_s"), F.asc("target_id"))
 
 
 def temporal(memories: DataFrame, now: int, k: int = 20, half_life: float = 14.0) -> DataFrame:
@@ -76,10 +85,13 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Any-term BM25. Term counts are taken in the scan for the query's terms alone: only hits are shuffled."""
-    tok = docs.select(F.col(id_col).cast("string").alias("target_id"), F.filter(F.split(C.identifier_text(F.coalesce(F.col(text_col), F.lit(""))), " "), lambda x: x != "").alias("t"))
-    equals = lambda q: lambda x: x == q
-    counted = tok.select("target_id", F.size("t").alias("len"), *(F.size(F.filter("t", equals(q))).alias(f"tf{i}") for i, q in enumerate(query)))
+    """Any-term BM25. The texts are read once: length and counts of the query's terms are written as short rows, which the
+    statistics and the scores then read. Terms are counted by replacement, so no text is split into an array."""
+    text = F.trim(C.identifier_text(F.coalesce(F.col(text_col), F.lit(""))))
+    tok = spread(docs.select(F.col(id_col).cast("string").alias("target_id"), F.col(text_col))).select("target_id", F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" ")).alias("t"))
+    gap = F.length("t") - F.length(F.replace("t", F.lit("  "), F.lit("")))
+    n_of = lambda q: ((F.length("t") - F.length(F.replace("t", F.lit(f" {q} "), F.lit("")))) / (len(q) + 2)).cast("int")
+    counted = durable(tok.select("target_id", F.when(F.length("t") > 2, (gap / 2).cast("int") + 1).otherwise(0).alias("len"), *(n_of(q).alias(f"tf{i}") for i, q in enumerate(query))))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     hit = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(query)))).join(F.broadcast(stats))  # one row
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

@@ -47,11 +47,12 @@ def entry_points(spark, sf):
     return G.entry_points(_lines(spark, sf), "doc_id")
 
 
-@query("api_topology", "SELECT c.doc_id AS call_id, e.doc_id AS endpoint_id FROM documents c JOIN documents e ON c.doc_id % 9 = e.doc_id % 7 WHERE c.doc_id < 200 AND e.doc_id < 200")
+@query("api_topology", """SELECT c.p AS path, c.n AS n_calls, e.n AS n_endpoints, c.least AS first_call, e.least AS first_endpoint, c.n * e.n AS n_links FROM
+  (SELECT '/api/' || (doc_id % 9) || '/items' AS p, count(*) AS n, min(doc_id) AS least FROM documents GROUP BY 1) c JOIN (SELECT '/api/' || (doc_id % 7) || '/items' AS p, count(*) AS n, min(doc_id) AS least FROM documents GROUP BY 1) e ON c.p = e.p""")
 def api_topology(spark, sf):
-    ln = _lines(spark, sf).filter("doc_id < 200")
-    calls = G.api_calls(ln, "doc_id").select(F.col("doc_id").alias("call_id"), "url")
-    return G.topology(calls, G.endpoints(ln, "doc_id").select(F.col("doc_id").alias("endpoint_id"), "path"))
+    """Links of all calls and endpoints, told by path: a path's calls and endpoints are all linked, so the pairs are not spelt out."""
+    ln = _lines(spark, sf)
+    return G.topology_paths(G.api_calls(ln, "doc_id").select("doc_id", "url"), G.endpoints(ln, "doc_id").select("doc_id", "path"), "doc_id")
 
 
 @query("resolve_entity", views("entities") + " SELECT id, name FROM entities WHERE contains(lower(name), 'red') ORDER BY id LIMIT 1")

@@ -88,8 +88,8 @@ def as_of_entities(spark, sf):
 @query("time_window_provenance", "SELECT event_id, event_type FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND ts < (SELECT min(ts) + INTERVAL 3 DAY FROM events)")
 def time_window_provenance(spark, sf):
     e = table(spark, sf, "events")
-    lo = e.agg(F.min("ts").alias("t0"))
-    return e.join(F.broadcast(lo), (F.col("ts") >= F.expr("t0 + interval 1 day")) & (F.col("ts") < F.expr("t0 + interval 3 day"))).select("event_id", "event_type")
+    start = F.lit(e.agg(F.min("ts")).first()[0]).cast(e.schema["ts"].dataType)  # one value, so that the window reaches the scan
+    return e.filter((F.col("ts") >= start + F.expr("interval 1 day")) & (F.col("ts") < start + F.expr("interval 3 day"))).select("event_id", "event_type")
 
 
 TEMPORAL = views("memories") + f"""SELECT 'temporal' AS lane, row_number() OVER (ORDER BY created_s DESC, id) AS lane_rank, 'memory' AS target_type, id AS target_id, text AS content,
@@ -235,9 +235,7 @@ HYBRID = f"""{views("memories")}, {BM25}, {VEC.format(s=L2)}, fk AS (SELECT 'fac
 def hybrid_recall(spark, sf):
     """Facts, temporal, lexical and vector lanes, fused by reciprocal rank and cut to a budget with omissions kept."""
     m = memories(spark, sf)
-    f = lanes.facts(m, Q, NOW, 20).filter("rank is not null")
-    fk = f.select(F.lit("facts").alias("lane"), F.col("rank").alias("lane_rank"), F.lit("memory").alias("target_type"), F.col("id").alias("target_id"), F.col("text").alias("content"), F.col("total").alias("raw_score"))
-    all_lanes = {"facts": fk, "temporal": lanes.temporal(m, NOW, 20), "lexical": lanes.bm25(table(spark, sf, "documents"), BM, "doc_id", "text", 20), "vector": lanes.vector(vectors(spark, sf), QVEC, 20)}
+    all_lanes = {"facts": lanes.facts_lane(m, Q, NOW, 20), "temporal": lanes.temporal(m, NOW, 20), "lexical": lanes.bm25(table(spark, sf, "documents"), BM, "doc_id", "text", 20), "vector": lanes.vector(vectors(spark, sf), QVEC, 20)}
     cands, _ = fusion.route(all_lanes, [])
     return fusion.compose(fusion.rrf(cands), 30, 25).select("target_type", "target_id", F.round("score", 6).alias("score"), "sources", "rank", "omitted")
 

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer: for heavy work on rows of a table of few splits."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def epoch(col: str) -> F.Column:
     """Seconds since 1970 of a timestamp without zone."""
     return F.unix_timestamp(F.col(col).cast("timestamp"))
@@ -44,11 +50,9 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.concat(F.lit("part-"), "p_partkey").alias("id"), F.col("p_brand").alias("kind"), F.col("p_name").alias("name"), F.col("p_type").alias("type"))
 
 
-def call_edges(spark: SparkSession, sf: str, sparse: bool = True) -> DataFrame:
-    """src, dst, order_id: consecutive parts of an order; sparse keeps returned lines of large quantity."""
+def call_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """src, dst, order_id: consecutive parts of an order."""
     li = table(spark, sf, "lineitem")
-    if sparse:
-        li = li.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 46))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     nxt = li.select("l_orderkey", "l_partkey", F.lead("l_partkey").over(w).alias("nxt"))
     return nxt.filter("nxt is not null").select(F.col("l_partkey").alias("src"), F.col("nxt").alias("dst"), F.col("l_orderkey").alias("order_id"))
@@ -94,7 +98,7 @@ VIEWS = {
       CASE WHEN turn % 7 = 3 THEN 'legal_hold' ELSE 'durable' END AS retention FROM conversations)""",
     "entities": "entities AS (SELECT 'part-' || p_partkey AS id, p_brand AS kind, p_name AS name, p_type AS type FROM part)",
     "edges": """edges AS (SELECT src, dst, order_id FROM (SELECT l_partkey AS src, l_orderkey AS order_id, lead(l_partkey) OVER (PARTITION BY l_orderkey
-      ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 46) WHERE dst IS NOT NULL)""",
+      ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS dst FROM lineitem) WHERE dst IS NOT NULL)""",
     "assertions": """assertions AS (SELECT 'order-' || o_orderkey AS id, cast(o_custkey AS varchar) AS subject_key, 'status' AS predicate, o_orderstatus AS object,
       CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'primary' WHEN o_orderpriority[1] = '3' THEN 'secondary' ELSE 'inferred' END AS authority_level,
       CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 10) / 10.0::double END AS confidence, cast(epoch(o_orderdate) AS bigint) AS from_s,
