@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cairn.plans import code, graphs, memory, retrieval
+from cairn.plans import code, graphs, memory, repository, retrieval
 
-QUERIES: dict = {**retrieval.QUERIES, **graphs.QUERIES, **memory.QUERIES, **code.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES, **memory.ORACLES, **code.ORACLES}
+_ALL = (retrieval, graphs, memory, code, repository)
+QUERIES: dict = {name: f for m in _ALL for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _ALL for name, sql in m.ORACLES.items()}
