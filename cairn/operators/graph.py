@@ -2,7 +2,7 @@
 
 Iterations are plans over DataFrames; a round's result is written to the shared folder every few rounds, so lineage stays
 short and a lost executor costs at most those rounds. Sequential algorithms (single-level Louvain) run per connected
-group in a grouped map; betweenness runs one breadth-first search per source over broadcast adjacency of checked size.
+group in a grouped map while a group fits a task; betweenness runs one breadth-first search per source over broadcast adjacency of checked size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ADJACENCY_EDGES = 5_000_000
+MAX_ADJACENCY_EDGES = 1_000_000  # and as many bytes of ids as 64 an edge
+MAX_COMPONENT_EDGES = 2_000_000  # edges of a component that one task holds
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -152,9 +153,9 @@ def betweenness(edges: DataFrame) -> DataFrame:
     The adjacency is broadcast after a check of its size; sources are spread over tasks, each adding up its own scores.
     """
     spark = edges.sparkSession
-    n = edges.count()
-    if n > MAX_ADJACENCY_EDGES:
-        raise ValueError(f"{n} edges: betweenness needs the adjacency in memory; take a subgraph of at most {MAX_ADJACENCY_EDGES}")
+    n, size = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("src").cast("string")) + F.octet_length(F.col("dst").cast("string"))), F.lit(0))).first()
+    if n > MAX_ADJACENCY_EDGES or size > 64 * MAX_ADJACENCY_EDGES:
+        raise ValueError(f"{n} edges, {size} bytes of ids: betweenness needs the adjacency in memory; take a subgraph of at most {MAX_ADJACENCY_EDGES} edges")
     adj: dict = {}
     for r in edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).collect():  # bounded above
         adj.setdefault(r["src"], []).append((r["dst"], r["m"]))
@@ -253,13 +254,17 @@ def _louvain(pairs: list[tuple], passes: int) -> dict:
 
 
 def communities(edges: DataFrame, passes: int = 20) -> DataFrame:
-    """id, label: Louvain local moving per connected component (edges sorted by src, dst), labels dense by least member.
+    """id, label: Louvain local moving, labels are the least member's id. Self-loops count for nothing.
 
-    A component is one task; components run side by side. Self-loops count for nothing.
+    Connected components of up to MAX_COMPONENT_EDGES edges are moved node by node, edges sorted by src and dst, each
+    component one task. Larger ones would not fit a task: their nodes move side by side (moved_together), which is the same
+    rule in another order.
     """
     kind = edges.schema["src"].dataType.simpleString()
     comp = components(edges)
     e = edges.join(comp.withColumnRenamed("id", "src"), "src").select("component", "src", "dst")
+    size = durable(e.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    large = size.filter(F.col("n") > MAX_COMPONENT_EDGES).select("component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["src", "dst"])
@@ -269,7 +274,41 @@ def communities(edges: DataFrame, passes: int = 20) -> DataFrame:
             least[c] = min(least.get(c, x), x)
         return pd.DataFrame({"id": list(lab), "head": [least[c] for c in lab.values()]})
 
-    return durable(e.groupBy("component").applyInPandas(run, f"id {kind}, head {kind}")).select("id", F.col("head").alias("label"))
+    small = durable(e.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"id {kind}, head {kind}")).select("id", F.col("head").alias("label"))
+    if large.isEmpty():
+        return small
+    return small.unionByName(moved_together(e.join(large, "component", "left_semi"), passes))
+
+
+def moved_together(e: DataFrame, passes: int) -> DataFrame:
+    """id, label of e(component, src, dst): each pass moves first one half of the nodes, then the other, drawn anew by hash.
+
+    Nodes of a half see the other half at rest, so pairs don't swap for ever. A node goes to the neighbouring community of
+    the largest gain, ties to the lower one. Every step is joins and aggregations that combine before they shuffle.
+    """
+    both = e.filter("src != dst").select("component", "src", "dst").union(e.filter("src != dst").select("component", F.col("dst"), F.col("src"))).toDF("component", "src", "dst")
+    w = durable(both.groupBy("component", "src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    deg = w.groupBy("component", "src").agg(F.sum("w").alias("deg"))
+    total = w.groupBy("component").agg(F.sum("w").alias("m2"))
+    lab = durable(deg.join(total, "component").select(F.col("src").alias("id"), F.col("src").alias("com"), "deg", "m2"))
+    for p in range(passes):
+        moved = 0
+        for half in (0, 1):
+            tot = lab.groupBy("com").agg(F.sum("deg").alias("tot"))
+            link = w.join(lab.select(F.col("id").alias("dst"), "com"), "dst").groupBy(F.col("src").alias("id"), "com").agg(F.sum("w").alias("k"))
+            turn = lab.filter(F.pmod(F.xxhash64("id", F.lit(p)), F.lit(2)) == half).select("id", F.col("com").alias("own"), "deg", "m2")
+            stay = turn.select("id", F.col("own").alias("com"), F.lit(0).cast("long").alias("k"))  # the own community counts without a link too
+            cand = link.join(turn.select("id"), "id", "left_semi").unionByName(stay).groupBy("id", "com").agg(F.sum("k").alias("k")).join(turn, "id").join(tot, "com")
+            rest = F.col("tot") - F.when(F.col("com") == F.col("own"), F.col("deg")).otherwise(0)
+            gain = F.round(F.col("k") - rest * F.col("deg") / F.col("m2"), 9)
+            best = cand.withColumn("gain", gain).groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (F.col("com") != F.col("own")).alias("away"), "com")).alias("b"))
+            nxt = durable(lab.join(best.select("id", F.col("b.com").alias("to")), "id", "left").select("id", F.coalesce("to", "com").alias("com"), "deg", "m2", F.coalesce(F.col("to") != F.col("com"), F.lit(False)).alias("went")))
+            moved += nxt.filter("went").count()
+            lab = nxt.drop("went")
+        if not moved:
+            break
+    least = lab.groupBy("com").agg(F.min("id").alias("label"))
+    return lab.join(least, "com").select("id", "label")
 
 
 def community_overview(edges: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:

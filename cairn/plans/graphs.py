@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import graph
@@ -159,8 +160,18 @@ def community_summary_lane(spark, sf):
     return lab.join(F.broadcast(best.select("label")), "label").select(F.col("id").cast("string").alias("target_id"), F.lit(1.0).alias("raw_score"))
 
 
+@query("hierarchy_nodes")
+def hierarchy_nodes(spark, sf):
+    """One layer-0 node per community: id, layer, n_members, members (the first twenty), by the same labels as hierarchy_build."""
+    _, lab = _labels(spark, sf)
+    first = lab.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).filter("r <= 20").groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    n = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"))
+    return n.join(first, "label").select(F.col("label").alias("id"), F.lit(0).alias("layer"), "n_members", "members")
+
+
 @query("hierarchy_build")
 def hierarchy_build(spark, sf):
+    """Directed links between the nodes of hierarchy_nodes, strength by calls."""
     e, lab = _labels(spark, sf)
     a, b = lab.select(F.col("id").alias("src"), F.col("label").alias("source_id")), lab.select(F.col("id").alias("dst"), F.col("label").alias("target_id"))
     return e.join(a, "src").join(b, "dst").filter("source_id != target_id").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("strength"))

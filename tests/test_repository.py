@@ -99,3 +99,25 @@ def test_bm25_counts_terms_as_tokens(spark):
 def test_entity_merge_keeps_given_names(spark):
     df = spark.createDataFrame([(["Ann"], ["ANN", "Bo"])], "a array<string>, b array<string>")
     assert df.select(R.merge_memory_entities(F.col("a"), F.col("b"))).first()[0] == ["Ann", "Bo"]
+
+
+def test_large_components_move_together(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    pairs = [(a, b) for g in range(6) for a in range(10 * g, 10 * g + 10) for b in range(10 * g, a) if r.random() < 0.7] + [(10 * g + 1, (10 * g + 12) % 60) for g in range(6)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    want = {x.id: x.label for x in graph.communities(e).collect()}
+    monkeypatch.setattr(graph, "MAX_COMPONENT_EDGES", 10)
+    got = {x.id: x.label for x in graph.communities(e).collect()}
+
+    def modularity(lab):
+        m, deg, tot = len(pairs), dict.fromkeys(lab, 0), {}
+        for a, b in pairs:
+            deg[a] += 1
+            deg[b] += 1
+        for n, c in lab.items():
+            tot[c] = tot.get(c, 0) + deg[n]
+        return sum(lab[a] == lab[b] for a, b in pairs) / m - sum((t / (2 * m)) ** 2 for t in tot.values())
+
+    assert set(got) == set(want) and modularity(got) >= 0.95 * modularity(want)
