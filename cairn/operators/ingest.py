@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
+from cairn.sources.domain import spread
 
 CHUNK = "array<struct<kind:string,text:string,start_line:int,end_line:int>>"
 _DECLARE = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+|export\s+|default\s+|async\s+|static\s+|public\s+|private\s+|protected\s+|abstract\s+)*(fn|struct|enum|trait|impl|mod|function|class|interface|type|def|func|const)\s+([A-Za-z_$][\w$]*)")
@@ -111,15 +112,16 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, how: str = "plain") -> Da
     def run(s: pd.Series) -> pd.Series:
         return s.map(f)
 
-    return docs.select(id_col, F.posexplode(run(F.col(text_col))).alias("position", "c")).select(id_col, F.col("position").cast("long").alias("position"), "c.*")
+    return spread(docs.select(id_col, text_col)).select(id_col, F.posexplode(run(F.col(text_col))).alias("position", "c")).select(id_col, F.col("position").cast("long").alias("position"), "c.*")
 
 
 def extract_names(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, name of capitalised runs; of over twenty in a text the longest twenty."""
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(capitalized)
 
-    return docs.select(id_col, F.explode(run(F.col(text_col))).alias("name"))
+    return spread(docs.select(id_col, text_col)).select(id_col, F.explode(run(F.col(text_col))).alias("name"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
