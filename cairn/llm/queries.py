@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import scratch, table
+from cairn.llm.common import scratch, spread, table
 
 N_SHARDS = 40
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -23,7 +23,7 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.decontam import matches
 
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,20 +35,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.pieces import encode
 
-    return encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return encode(spread(table(spark, sf_dir, "documents")), PIECE_MODEL)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.simhash import near_groups
 
-    out = near_groups(table(spark, sf_dir, "documents"), words=4, k=4)
+    out = near_groups(spread(table(spark, sf_dir, "documents")), words=4, k=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.html_text import extract
 
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.langid import identify
 
-    return identify(table(spark, sf_dir, "documents"), folds=3, held=1)
+    return identify(spread(table(spark, sf_dir, "documents")), folds=3, held=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
