@@ -145,7 +145,7 @@ def _scan(p: np.ndarray, t: np.ndarray, free_p: np.ndarray, free_t: np.ndarray,
     return [(int(x), int(y), int(k)) for x, y, k in zip(a[first], b[first], size) if np.array_equal(p[x : x + k], t[y : y + k])]
 
 
-# ---------------------------------------------------------------- model
+# -- model
 def build(items: list[tuple], least: int = MIN_MATCH) -> dict:
     """Index of (item_id, text) rows: word ids, item token arrays, sorted seed hashes with their items."""
     vocab: dict[str, int] = {}
@@ -247,6 +247,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, l
     Null and blank texts match nothing; an item of fewer than `least` tokens is held when all of it stands in a row, and one without a
     token never. Repeated rows and repeated items are reported each. Ties between tiles go to the earliest place. Places are code point offsets in the whole text.
     """
+    common.ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     schema = f"__id {kind}, item_id {benchmark.schema[item_col].dataType.simpleString()}, {MATCHES}"
@@ -279,6 +280,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, l
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH, text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a benchmark item; all columns are kept, no join, so null and repeated ids are safe."""
+    common.ship(docs.sparkSession)
     for shared in _models(benchmark, "item_id", "text", least):
 
         def run(batches, shared=shared):

@@ -317,7 +317,7 @@ class Page:
         return "\n".join(blocks)
 
 
-# ---------------------------------------------------------------- Spark
+# -- Spark
 def host_of(url: str) -> F.Column:
     """Host of a url column in lower case, '' if there is none."""
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
@@ -357,6 +357,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or broken urls share the host ''. Repeated pages come out each. Whole pages are read; nothing is capped.
     """
+    common.ship(pages.sparkSession)
     found = templates(pages, url_col, html_col)
     kind = pages.schema[id_col].dataType.simpleString()
     src = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

@@ -163,6 +163,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
     """Learn from rows outside the held-out fold (crc32 of the id as text, mod folds), then predict every row."""
+    common.ship(docs.sparkSession)
     fit_rows = docs.filter(common.crc_mod(id_col, folds) != held).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     out = predict(docs, train(fit_rows), id_col, text_col)
     return out.select(id_col, (common.crc_mod(id_col, folds) == held).alias("held_out"), "lang_pred", "score")

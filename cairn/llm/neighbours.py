@@ -266,6 +266,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     component and kept. Vectors of different lengths never link. Equal vectors link with each other. component_id is
     the least id reachable; null ids are passed over. Repeated ids each get a row. Empty table: no rows.
     """
+    common.ship(rows.sparkSession)
     all_rows, found = nodes_of(rows, vec, label, id_col)
     all_rows = common.cut(all_rows, "vec-rows")
     nodes = common.cut(found, "vec-nodes")

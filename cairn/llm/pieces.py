@@ -487,7 +487,7 @@ def decode(ids, m: Pieces) -> str | None:
     return None if ids is None else decoded(np.asarray(ids, dtype=np.int64), m).decode("utf-8", "surrogatepass")
 
 
-# ---------------------------------------------------------------- Spark
+# -- Spark
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -507,6 +507,7 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col
     Null text: null ids, count and lossless. Empty text: no ids. Repeated rows have the same key and come out the same;
     a null id keys as the seed alone. The model's path must be readable on every executor. Very long texts are encoded whole.
     """
+    common.ship(docs.sparkSession)
 
     def run(batches):
         m = load(model)

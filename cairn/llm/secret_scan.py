@@ -97,7 +97,7 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), zipped)
 
 
-# ---------------------------------------------------------------- labelled findings
+# -- labelled findings
 def builtin_findings(spark: SparkSession, n: int = N_TRAIN, without: tuple[int, ...] = (), only: tuple[int, ...] | None = None) -> DataFrame:
     """text, label: generated findings, true secrets (1) and look-alikes (0), the same rows everywhere.
 
@@ -175,7 +175,7 @@ def fit_forest(findings: DataFrame) -> dict[str, list]:
     return out
 
 
-# ---------------------------------------------------------------- operators
+# -- operators
 def scored(text: Column, forest: dict[str, list]) -> Column:
     """Array of (gap, match, value, score) of every candidate of a text; null without any."""
     return F.transform(candidates(text), lambda c: F.struct(c["gap"].alias("gap"), c["f"]["match"].alias("match"), c["f"]["value"].alias("value"), _apply(c["f"], forest).alias("score")))

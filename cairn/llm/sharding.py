@@ -37,6 +37,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     each get a slot of their own. Empty table: no rows. Other columns of docs are not read, so their names can't clash.
     A hot id is split between tasks: row numbers end the sort key.
     """
+    common.ship(docs.sparkSession)
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = docs.sparkSession

@@ -26,7 +26,7 @@ HOT_BUCKET = 50_000
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-# ---------------------------------------------------------------- fingerprints
+# -- fingerprints
 def shingle_hashes(text: bytes | None, words: int, seed: int = 42):
     """Blocks of XXH64 values of the text's word shingles, repeats included; nothing if there is no word."""
     ws = text.lower().split() if text else []  # bytes: A-Z only, and exactly the six ASCII spaces
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return src.mapInArrow(common.frugal(run), f"__id {kind}, " + ", ".join(f"fp{k} bigint" for k in range(len(seeds))))
 
 
-# ---------------------------------------------------------------- index
+# -- index
 def block_masks(k: int, bits: int = 64) -> list[int]:
     """Masks of two of k+2 blocks: two fingerprints within k bits agree on at least one mask."""
     cuts = [bits * i // (k + 2) for i in range(k + 3)]
@@ -221,7 +221,7 @@ def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool
     return _bucketed(fps, masks).mapInArrow(common.frugal(run), "u bigint, v bigint")
 
 
-# ---------------------------------------------------------------- operators
+# -- operators
 def near_groups(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (bigint), component_id for every row: fingerprints within k bits are linked, components are transitive.
 
@@ -229,6 +229,7 @@ def near_groups(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "doc_
     Null and blank texts have fingerprint 0 and link like any other. Equal fingerprints are one node, so copies
     cost one row each and a group of copies is never expanded into pairs. Empty table: no rows.
     """
+    common.ship(docs.sparkSession)
     rows = common.cut(fingerprints(docs, words, id_col, text_col).withColumnRenamed("fp0", "fp"), "fps")
     nodes = common.cut(rows.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     comp = components(links(nodes.select("fp"), k, spanning=True))
@@ -247,7 +248,7 @@ def _labels(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(linked, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id"))
 
 
-# ---------------------------------------------------------------- removal of near-duplicates
+# -- removal of near-duplicates
 def _mark(t: bytes | None) -> str:
     """Key of the exact word sequence."""
     return xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split()) if t else b"")
@@ -556,6 +557,7 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     the groups found so far follow, so a dense group is not expanded into all of its pairs.
     Texts without a word are copies of each other. Repeated rows count as copies. All columns are kept.
     """
+    common.ship(docs.sparkSession)
     rows = numbered(docs)
     hot_shingles = frequent(rows, rows.count(), words, text_col)
     made = common.cut(sketches(rows, hot_shingles, words, similarity, id_col, text_col), "sketch")

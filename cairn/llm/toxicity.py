@@ -32,7 +32,7 @@ VOTERS = ("seed_words", "seed_density", "induced_words", "start4", "start5", "st
 N_FEATURES = 14
 
 
-# ---------------------------------------------------------------- lexicon induction
+# -- lexicon induction
 def _units(text: str | None) -> set[str]:
     """Distinct words and word starts of a text as kind:entry."""
     words = set(_WORD.findall(text.lower())) if text else set()
@@ -79,7 +79,7 @@ def induce(sample: DataFrame) -> dict[str, frozenset]:
     return out
 
 
-# ---------------------------------------------------------------- votes and features of one text
+# -- votes and features of one text
 class Memo(dict):
     """Word -> bit mask of the lexicons that hold it; cleared when it grows past a bound."""
 
@@ -119,7 +119,7 @@ def measure(text: str | None, memo: Memo) -> tuple[tuple[int, ...], np.ndarray]:
     return votes, x
 
 
-# ---------------------------------------------------------------- label model
+# -- label model
 ANCHOR = 50.0  # weight, in texts per class, of the labelled sample in each voter's accuracies
 
 
@@ -207,12 +207,13 @@ def linear_score(x: np.ndarray, lin: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ lin["w"], -30, 30)))
 
 
-# ---------------------------------------------------------------- Spark
+# -- Spark
 def train(docs: DataFrame, labelled: DataFrame) -> dict | None:
     """Model from docs(text) and labelled(text, toxic), a sample that the caller has bounded.
 
     None if the labels don't hold both classes.
     """
+    common.ship(docs.sparkSession)
     spark = docs.sparkSession
     lab = labelled.filter("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
     lab = common.cut(lab.repartition(common.parts(spark)), "toxic-sample")
@@ -252,6 +253,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> dict | None:
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) for every row. Null and empty texts are scored as texts without a hit; without a model, 0."""
+    common.ship(docs.sparkSession)
     if model is None:
         return docs.select(id_col, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast({"lex": model["lex"], "linear": model["linear"]})
@@ -269,6 +271,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, model: dict | None, threshold: float, text_col: str = "text") -> DataFrame:
     """docs without the rows that score at or over the threshold; all columns stay."""
+    common.ship(docs.sparkSession)
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast({"lex": model["lex"], "linear": model["linear"]})

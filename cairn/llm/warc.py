@@ -29,7 +29,7 @@ BROADCAST_GROUPS = 50_000  # groups of equal payloads whose responses are broadc
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
-# ---------------------------------------------------------------- records
+# -- records
 def record_id(page_id, row: int = 0) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NS, f'{page_id}/{row}')}>"
 
@@ -101,7 +101,7 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-# ---------------------------------------------------------------- salvage reader
+# -- salvage reader
 class _Window:
     """A forward view of a stream: bytes from `at` on, read as needed. What was passed is dropped a read block at a time."""
 
@@ -294,7 +294,7 @@ def _seek(w: _Window) -> None:
         w.skip(max(1, w.left() - 7))
 
 
-# ---------------------------------------------------------------- Spark
+# -- Spark
 def with_revisits(pages: DataFrame, least: int = REVISIT_MIN) -> DataFrame:
     """page_id, url, payload, digest, kind, refers_to, refers_url.
 
@@ -326,6 +326,7 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_MIN) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> DataFrame:
     """Write the pages' records below folder; returns path, records, bytes per archive (already written)."""
+    common.ship(pages.sparkSession)
 
     def run(batches):
         part = TaskContext.get().partitionId()
