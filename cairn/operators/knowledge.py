@@ -10,7 +10,7 @@ from cairn.functions import columns as C
 TIERS = ("primary", "secondary", "inferred")
 
 
-# ---------------------------------------------------------------- beliefs
+# -- beliefs
 def authority(tiers: tuple[str, ...] = TIERS, col: str = "authority_level") -> F.Column:
     """Position in the policy's list from high to low; unlisted ones come last."""
     if not tiers or len(set(tiers)) != len(tiers):
@@ -73,7 +73,7 @@ def resolution_status(col: str) -> F.Column:
     return F.when(F.col(col) == "ignore", "ignored").when(F.col(col) == "needs_more", "open").otherwise("resolved")
 
 
-# ---------------------------------------------------------------- identity
+# -- identity
 def collisions(entities: DataFrame, key: F.Column) -> DataFrame:
     """identity_key, ids, n of keys that several entities have."""
     k = entities.select("id", key.alias("identity_key")).filter("identity_key is not null")
@@ -106,7 +106,7 @@ def first_writes(requests: DataFrame, key: list[str], order: str) -> DataFrame:
     return requests.join(w, key).withColumn("deduplicated", F.col("id") != F.col("stored_id"))
 
 
-# ---------------------------------------------------------------- hierarchy
+# -- hierarchy
 def path_to_root(nodes: DataFrame, ids: DataFrame, depth: int = 64) -> DataFrame:
     """seed, id, up: every seed's chain of parents, the seed itself at 0. Ends when no chain grows any more.
 
@@ -139,7 +139,7 @@ def parentage_findings(nodes: DataFrame) -> DataFrame:
     return j.select("id", f.alias("finding")).filter("finding is not null")
 
 
-# ---------------------------------------------------------------- taxonomy and ontology
+# -- taxonomy and ontology
 def duplicate_labels(concepts: DataFrame, key: list[F.Column]) -> DataFrame:
     """id, previous_id: each repeat of a normalised label among concepts not rejected, with the one before it."""
     k = concepts.filter("status != 'rejected'").withColumn("k", C.record_key(*key))
@@ -183,7 +183,7 @@ def undeclared(edges: DataFrame, declared: DataFrame, cap: int = 5000) -> DataFr
     return bad.select(F.col("id").cast("string").alias("id"), F.lit("warning").alias("severity")).unionByName(seen.filter(F.col("r") > cap).select(F.lit("truncated").alias("id"), F.lit("info").alias("severity")))
 
 
-# ---------------------------------------------------------------- lifecycle
+# -- lifecycle
 def forget(memories: DataFrame, chosen: F.Column, mode: str) -> DataFrame:
     """delete, redact, tombstone or archive the chosen memories."""
     if mode == "delete":
@@ -223,7 +223,7 @@ def consolidation_plan(strategy: str | None) -> list[str]:
     return list(PLANS.get(strategy or "manual", PLANS["manual"]))
 
 
-# ---------------------------------------------------------------- evaluation
+# -- evaluation
 def evaluate(expected: DataFrame, results: DataFrame) -> DataFrame:
     """case_id, failures: targets that must and must not be there against results(case_id, target_id, score).
 

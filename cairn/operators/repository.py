@@ -12,7 +12,7 @@ from cairn.functions import columns as C
 from cairn.operators import graph
 
 
-# ---------------------------------------------------------------- filters
+# -- filters
 def scope_or_global(tenant: str, **request: str | None) -> Column:
     """The other polarity of scope_allows: a null record value is global, a set one must be equal to the request's."""
     out = F.col("tenant") == tenant
@@ -101,7 +101,7 @@ class SnapshotCache:
             df.unpersist()
 
 
-# ---------------------------------------------------------------- graph look-ups
+# -- graph look-ups
 def entity_key(name: Column, id_: Column) -> Column:
     return F.coalesce(F.when(F.trim(name) != "", name), id_)
 
@@ -165,7 +165,7 @@ def calls_in_spans(calls: DataFrame, spans: DataFrame, names: DataFrame, key: st
     return first.filter("caller != callee").select("caller", "callee").distinct()
 
 
-# ---------------------------------------------------------------- repository
+# -- repository
 def by_source(entities: DataFrame, graphs: DataFrame, source_key: str) -> DataFrame:
     """Entities of the graphs that a source made."""
     g = graphs.filter(F.col("stable_source_key") == source_key).select("graph_id")
@@ -202,7 +202,7 @@ def gc_repositories(repositories: DataFrame, graphs: DataFrame) -> DataFrame:
     return repositories.join(graphs.select("source_key"), "source_key", "left_semi")
 
 
-# ---------------------------------------------------------------- identity
+# -- identity
 def put_contradictions(old: DataFrame, new: DataFrame) -> DataFrame:
     """old and those of new(id, scope, a, b) whose unordered pair is in neither: the existing one wins, then the least id."""
     pair = [F.col("scope"), F.least("a", "b").alias("__a"), F.greatest("a", "b").alias("__b")]
@@ -236,7 +236,7 @@ def resolve_relationships(existing: DataFrame, incoming: DataFrame, key: list[st
     return j.select(*key, F.array_sort(F.array_union(F.coalesce("evidence", none), F.coalesce("n", none))).alias("evidence"), F.coalesce("confidence", "c").alias("confidence"))
 
 
-# ---------------------------------------------------------------- memory writes
+# -- memory writes
 def invalid(tenant: str = "tenant", text: str = "text", source: str = "source", uses: str = "allowed_uses") -> Column:
     """Why a write is refused, null if it is not."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
@@ -281,7 +281,7 @@ def check_retrieval(query: str, limit: int | None, budget: int | None) -> None:
         raise ValueError("limit and budget must not be zero")
 
 
-# ---------------------------------------------------------------- consolidation
+# -- consolidation
 TRIGGERS = {"time_window": "schedule", "event_count": "event_threshold", "retrieval_failure": "retrieval_failure", "hybrid": "hybrid", "manual": "manual"}
 
 
@@ -324,7 +324,7 @@ def composite(results: DataFrame) -> DataFrame:
     return results.groupBy("task").agg(F.coalesce(first, F.lit("skipped")).alias("status"), F.sum("n_read").alias("n_read"), F.sum("n_written").alias("n_written"))
 
 
-# ---------------------------------------------------------------- ingestion
+# -- ingestion
 CODE_EXT = "rs ts tsx js jsx py go c h cpp hpp cc java kt rb php cs swift scala sh sql".split()
 TEXT_EXT = "md markdown txt rst adoc toml yaml yml json html css".split()
 NAMES = {"dockerfile": "code", "makefile": "code", "readme": "text", "license": "text"}
@@ -384,7 +384,7 @@ def repo_label(provenance: Column) -> Column:
     return F.when(inner != "", inner).otherwise(F.split(provenance, ":")[0])
 
 
-# ---------------------------------------------------------------- provenance, embedding, evaluation
+# -- provenance, embedding, evaluation
 def evidence_for(kind: str, id_, entities: DataFrame, relationships: DataFrame, sources: DataFrame) -> DataFrame:
     """ref of an entity's, relationship's or source's evidence; a relationship has its own and its provenance."""
     table = {"entity": entities, "relationship": relationships, "source": sources}.get(kind)

@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-# ---------------------------------------------------------------- beliefs
+# -- beliefs
 LIVE = views("assertions") + f""", l AS (SELECT *, CASE authority_level WHEN 'primary' THEN 0 WHEN 'secondary' THEN 1 ELSE 2 END AS tier FROM assertions WHERE from_s <= {AT} AND {AT} < until_s),
   b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY subject_key, predicate) AS best FROM l) WHERE tier = best),
   g AS (SELECT subject_key, predicate, count(*) AS n, count(DISTINCT object) AS objects, max(coalesce(confidence, 1)) AS most FROM b GROUP BY 1, 2),
@@ -79,7 +79,7 @@ def belief_embedding_rank(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", s.alias("s")).filter("s >= 0.05").orderBy(F.desc("s"), "vec_id").limit(25).select("vec_id", F.round("s", 6).alias("score"))
 
 
-# ---------------------------------------------------------------- identity
+# -- identity
 PKEY = "lower(trim(p_brand)) || '|' || lower(trim(p_type))"
 
 
@@ -131,7 +131,7 @@ def gc_orphans_query(spark, sf):
     return gc_orphans(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id")), live)
 
 
-# ---------------------------------------------------------------- hierarchy, taxonomy, ontology
+# -- hierarchy, taxonomy, ontology
 PATHS = views("nodes").replace("WITH ", "WITH RECURSIVE ") + ", p AS (SELECT id AS seed, id, 0 AS up FROM nodes WHERE id IN ('c1', 'c2', 's1', 'c3') UNION ALL SELECT p.seed, n.parent_id, p.up + 1 FROM p JOIN nodes n ON n.id = p.id WHERE n.parent_id IS NOT NULL)"
 
 
@@ -182,7 +182,7 @@ def undeclared_predicates(spark, sf):
     return K.undeclared(e, d).select(F.col("id").cast("string").alias("id"), "severity")
 
 
-# ---------------------------------------------------------------- ingestion
+# -- ingestion
 @query("line_chunks", views("chunks") + " SELECT doc_id, position, sha256(text) AS hash FROM chunks")
 def line_chunks(spark, sf):
     return chunks(spark, sf).select("doc_id", F.col("position").cast("long").alias("position"), F.sha2("text", 256).alias("hash"))
@@ -260,7 +260,7 @@ def capitalized_entities(spark, sf):
     return ingest.extract_names(table(spark, sf, "documents"), "doc_id", "text")
 
 
-# ---------------------------------------------------------------- operations
+# -- operations
 @query("scope_counts_rollup", views("memories") + " SELECT tenant, kind, count(*) AS n FROM memories GROUP BY ROLLUP (tenant, kind)")
 def scope_counts_rollup(spark, sf):
     return memories(spark, sf).rollup("tenant", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -312,7 +312,7 @@ def manifest_fingerprint(spark, sf):
     return fingerprint(table(spark, sf, "documents"), "doc_id")
 
 
-# ---------------------------------------------------------------- event windows (batch forms of the streams)
+# -- event windows (batch forms of the streams)
 def _secs(df):
     return df.withColumn("start", F.unix_timestamp("start"))
 

@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-# ---------------------------------------------------------------- filters and search steps
+# -- filters and search steps
 @query("scope_or_global", views("memories") + " SELECT id FROM memories WHERE tenant = 't1' AND (expires_s IS NULL OR session = '5') AND confidence IS NULL")
 def scope_or_global(spark, sf):
     m = memories(spark, sf).withColumn("session", F.when(F.col("expires_s").isNotNull(), F.col("session"))).withColumn("workspace", F.col("confidence").cast("string"))
@@ -84,7 +84,7 @@ def degraded_recall(spark, sf):
     return got.groupBy("lane").agg(F.count(F.lit(1)).alias("n")).select("lane", F.lit("ok").alias("severity"), "n").unionByName(bad)
 
 
-# ---------------------------------------------------------------- graph
+# -- graph
 def _reach_sql(start: str, a: str, b: str, depth: int, name: str) -> str:
     return f"{name} AS (SELECT {b} AS id, 1 AS hops FROM e WHERE {a} IN ({start}) UNION SELECT e.{b}, {name}.hops + 1 FROM {name} JOIN e ON e.{a} = {name}.id WHERE {name}.hops < {depth})"
 
@@ -176,7 +176,7 @@ def calls_in_spans(spark, sf):
     return R.calls_in_spans(calls, spans, e.select(name(50).alias("name")), "user_id")
 
 
-# ---------------------------------------------------------------- repository
+# -- repository
 def _graphs(spark, sf):
     n = table(spark, sf, "nation")
     return n.select(F.concat(F.lit("g"), "n_nationkey").alias("graph_id"), F.concat(F.lit("host/org/r"), "n_regionkey").alias("stable_source_key"))
@@ -240,7 +240,7 @@ def concepts_of_scheme(spark, sf):
     return concepts(spark, sf).filter("scheme_id = 'Brand#13'").orderBy("id").select("id", "pref_label")
 
 
-# ---------------------------------------------------------------- identity and writes
+# -- identity and writes
 @query("put_contradictions", "WITH x AS (SELECT event_id AS id, cast(user_id % 3 AS varchar) AS scope, event_id % 40 AS a, user_id % 40 AS b FROM events), o AS (SELECT * FROM x WHERE id % 10 = 0), n AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q FROM x WHERE id % 10 <> 0) SELECT id FROM o UNION ALL SELECT min(id) FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.scope = n.scope AND least(o.a, o.b) = p AND greatest(o.a, o.b) = q) GROUP BY scope, p, q")
 def put_contradictions(spark, sf):
     x = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 3).cast("string").alias("scope"), (F.col("event_id") % 40).alias("a"), (F.col("user_id") % 40).alias("b"))
@@ -301,7 +301,7 @@ def update_status(spark, sf):
     return R.update_status(m, m.filter("session = '4'").select("id"), "archived").select("id", "status")
 
 
-# ---------------------------------------------------------------- consolidation and evaluation
+# -- consolidation and evaluation
 @query("composite_executor", "SELECT event_type AS task, coalesce(arg_min(s, event_id) FILTER (s <> 'skipped'), 'skipped') AS status, cast(sum(CASE WHEN value > 20 THEN 1 END) AS bigint) AS n_read, cast(sum(CASE WHEN value > 1000 THEN 1 END) AS bigint) AS n_written FROM (SELECT *, CASE user_id % 3 WHEN 0 THEN 'skipped' WHEN 1 THEN 'done' ELSE 'failed' END AS s FROM events) GROUP BY 1")
 def composite_executor(spark, sf):
     u = F.col("user_id") % 3
@@ -327,7 +327,7 @@ def pass_summary(spark, sf):
     return R.pass_summary(e).select("pass", "n", F.round("avg_ms", 4).alias("avg_ms"), F.round("coverage", 6).alias("coverage"), F.round("hit_rate", 6).alias("hit_rate"))
 
 
-# ---------------------------------------------------------------- ingestion
+# -- ingestion
 EXT = "['rs', 'md', 'png', 'py', 'toml', 'so']"
 
 
