@@ -441,7 +441,13 @@ class Encoder:
         per_word, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
         short = np.flatnonzero(~long)
         if len(short):
+            seen = len(self.words)
             w = np.fromiter(map(self.words.__getitem__, compress(words, ~long)), dtype=np.int64, count=len(short))
+            if self.limit:  # a chunk met for the first time, and once, is merged with its own skips: a tree would pay from the next time on
+                chunk, at, times = np.unique(w, return_index=True, return_counts=True)
+                once = at[(times == 1) & (chunk >= seen)]
+                long[short[once]] = True
+                short, w = np.delete(short, once), np.delete(w, once)
             if len(self.words) > self.root.n:
                 self.root.add(np.zeros(len(self.words) - self.root.n, dtype=np.int64))
             chunk, at = np.unique(w, return_index=True)

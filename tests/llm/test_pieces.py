@@ -89,3 +89,14 @@ def test_heap_and_block_merging_agree(model, monkeypatch):
         monkeypatch.setattr(P, "FEW", few)
         got.append([x.tolist() for x in P.Encoder(model, 0.3, 7).encode(texts, [1, 2, 3, 4])])
     assert got[0] == got[1]
+
+
+def test_direct_merging_equals_the_trees(model, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("etaoinshr"), rng.integers(1, 14))) for _ in range(60)) + " the the of of" for _ in range(20)]
+    got = lists(P.Encoder(model, 0.2, 7), texts)
+    two = P.Encoder(model, 0.2, 7)
+    lists(two, texts)
+    assert lists(two, texts) == got  # all chunks are known by now
+    monkeypatch.setattr(P, "MEMO", 0)  # every chunk is merged with its own skips
+    assert lists(P.Encoder(model, 0.2, 7), texts) == got
