@@ -125,18 +125,31 @@ def test_dedup_against_brute_force(spark, docs_of, tmp_path):
     assert {r.doc_id for r in got.collect()} == keep and got.columns == docs.columns
 
 
-def test_dedup_finds_appended_and_cut_copies(spark, docs_of):
+def test_dedup_finds_every_kind_of_edit(spark, docs_of):
+    """Appended, prepended, cut and reworded copies of texts of 10 to 300 words at any similarity from 0.8 on: recall is 1."""
     random.seed(11)
+    word = lambda: f"w{int(random.paretovariate(0.6)) % 50_000}"
     texts = []
-    for k in range(300):
-        own = [f"w{int(random.paretovariate(0.6)) % 50_000}" for _ in range(200)]
-        more = [f"w{int(random.paretovariate(0.6)) % 50_000}" for _ in range(38)]
-        texts += [" ".join(own), " ".join([own + more, more + own, own[36:]][k % 3])]
-    want = groups(list(range(600)), lambda a, b: a // 2 == b // 2 and jaccard(texts[a], texts[b]) >= 0.8)
-    assert len(set(want.values())) < 320
+    for k in range(320):
+        n = (10, 15, 30, 60, 200, 300)[k % 6]
+        own, more = [word() for _ in range(n)], [word() for _ in range(max(1, n // random.choice([6, 9, 15])))]
+        at = random.randrange(n)
+        texts += [" ".join(own), " ".join([own + more, more + own, own[len(more) :], own[:at] + [word()] + own[at + 1 :]][k // 6 % 4])]
+    want = groups(list(range(640)), lambda a, b: a // 2 == b // 2 and jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(want.values())) < 440
     assert {r.doc_id for r in S.dedup(docs_of(texts)).collect()} == set(want.values())
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 300, 600, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for cut, more in ((0, 0), (1, 3), (n // 4, n // 5), (n // 2, 2 * n)):
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+            assert S.apart(S.parity(a), S.parity(b)) <= len(np.setxor1d(a, b))
+    assert S.apart(S.parity(a), S.parity(np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)))) > S.most_apart(5000, 5000, 0.8)
+
+
 def test_dedup_hot_shingles(spark, docs_of, monkeypatch):
     monkeypatch.setattr(S, "HOT_BUCKET", 10)
     monkeypatch.setattr(S, "HELD", 50)
