@@ -379,8 +379,8 @@ class _Rows:
 class Encoder:
     """Encodes texts with a memory of chunks that is emptied past CACHE chunks or twice as many entries."""
 
-    def __init__(self, m: Pieces, rate: float, seed: int) -> None:
-        self.m = m
+    def __init__(self, m: Pieces, rate: float, seed: int, most: int = CACHE) -> None:
+        self.m, self.most = m, most
         self.limit = min(int(min(max(rate, 0.0), 1.0) * 2**64), 2**64 - 1)
         self.seed = common.mix64(np.array([seed & 0xFFFFFFFF], dtype=np.uint64) * np.uint64(1000003), 1)[0]
         self.forget()
@@ -421,7 +421,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], row_keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and their number for each text (0 for null and empty ones)."""
-        if len(self.words) > CACHE or self.count.n > 2 * CACHE:
+        if len(self.words) > self.most or self.count.n > 2 * self.most:
             self.forget()
         words: list[str] = []
         n = np.zeros(len(texts), dtype=np.int64)
@@ -507,20 +507,22 @@ def load(path: str) -> Pieces:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", check: bool = True,
+           at_once: int = SLICE, remembered: int = CACHE) -> DataFrame:
     """id, n_pieces, ids (array<int>), lossless (decoding gives the text back) for every row.
 
     Null text: null ids, count and lossless. Empty text: no ids. Repeated rows have the same key and come out the same;
     a null id keys as the seed alone. The model's path must be readable on every executor. Very long texts are encoded whole.
+    at_once (texts) and remembered (chunks) trade memory for time; the result is the same.
     """
     common.ship(docs.sparkSession)
 
     def run(batches):
         m = load(model)
-        enc = _ENCODERS.setdefault((model, rate, seed), Encoder(m, rate, seed))  # a reused worker keeps its memory
+        enc = _ENCODERS.setdefault((model, rate, seed, remembered), Encoder(m, rate, seed, remembered))  # a reused worker keeps its memory
         for big in batches:
-            for at in range(0, big.num_rows, SLICE):
-                b = big.slice(at, SLICE)
+            for at in range(0, big.num_rows, at_once):
+                b = big.slice(at, at_once)
                 texts = b.column("__text").to_pylist()
                 flat, n = enc.encode(texts, b.column("__key").to_pylist())
                 ends = np.cumsum(n)
