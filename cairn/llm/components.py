@@ -31,6 +31,30 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+def tree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of pairs that connect exactly what the pairs (a, b) connect, without a circle; earlier pairs are preferred."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = inv[: len(a)], inv[len(a) :]
+    at = np.arange(len(a))
+    root = np.arange(len(nodes))
+    kept = []
+    while True:
+        ri, rj = root[i[at]], root[j[at]]
+        open_ = ri != rj
+        at, ri, rj = at[open_], ri[open_], rj[open_]
+        if not len(at):
+            return np.sort(np.concatenate(kept)) if kept else at
+        first = np.full(len(nodes), len(a))
+        np.minimum.at(first, ri, at)
+        np.minimum.at(first, rj, at)
+        took = np.unique(first[first < len(a)])  # each group's first pair outwards
+        kept.append(took)
+        node, low = forest(root[i[took]], root[j[took]])
+        to = np.arange(len(nodes))
+        to[node] = low
+        root = to[root]
+
+
 def _mark(e: DataFrame) -> tuple:
     r = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
     return tuple(r)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import common
-from cairn.llm.components import components, forest
+from cairn.llm.components import components, forest, tree
 
 FAN = 8
 SLICE = 1 << 17
@@ -159,12 +159,13 @@ def _bucketed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return row.repartition(n_parts, "t", "key", "c1", "c2").sortWithinPartitions("t", "key", "c1", "c2", gray_rank(F.col("fp")))
 
 
-def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool = False) -> DataFrame:
+def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool = False, own: bool = False) -> DataFrame:
     """u, v: pairs of rows whose fingerprints (column fp) lie within k bits, each pair once, u < v.
 
     Rows are named by column id, or by fp itself; rows of equal column tag, where there is one, make no pair.
     Without masks the result is exact. With own masks, pairs that agree on none are not found.
     spanning: instead of all pairs, fewer links that connect the same.
+    own: so too, but each is a pair within k bits itself, the nearest are preferred, and a row has about one in each table.
     """
     masks = masks or block_masks(k)
     m64 = np.array(masks, dtype=np.uint64)
@@ -178,7 +179,7 @@ def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool
         tag = cols["tag"] if tagged else None
         new = np.zeros(len(t), dtype=np.int64)
         new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
-        us, vs, held = [], [], 0
+        us, vs, ds, held = [], [], [], 0
         for i, j in search(build(fp, np.cumsum(new), tag), k):
             x = fp[i] ^ fp[j]
             first = np.argmax((x[:, None] & m64[None, :]) == 0, axis=1)  # a pair counts in the first table that has it
@@ -187,11 +188,23 @@ def links(fps: DataFrame, k: int, masks: list[int] | None = None, spanning: bool
                 ok &= tag[i] != tag[j]
             us.append(np.minimum(ids[i], ids[j])[ok])
             vs.append(np.maximum(ids[i], ids[j])[ok])
+            if own:
+                ds.append(np.bitwise_count(x[ok]))
             held += int(ok.sum())
             if held > 1 << 18:
-                yield from flush(us, vs)
-                us, vs, held = [], [], 0
-        yield from flush(us, vs)
+                if own:
+                    us, vs, ds = nearest(us, vs, ds)
+                else:
+                    yield from flush(us, vs)
+                    us, vs, ds = [], [], []
+                held = 0
+        yield from flush(*(nearest(us, vs, ds)[:2] if own and us else (us, vs)))
+
+    def nearest(*cols):
+        u, v, d = map(np.concatenate, cols)
+        at = np.argsort(d, kind="stable")
+        at = at[tree(u[at], v[at])]
+        return [u[at]], [v[at]], [d[at]]
 
     def flush(us, vs):
         u, v = (np.concatenate(us), np.concatenate(vs)) if us else ([], [])
@@ -337,32 +350,33 @@ def most_apart(n1, n2, similarity: float):
 
 
 def sketches(rows: DataFrame, hot: np.ndarray, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Of each text one row __row, id, key, mark, n, bits, then its prefix in rows of PREFIX.
+    """Of each text one row __row, id, key, mark, n, bits, fp (its SimHash fingerprint), then its prefix in rows of PREFIX.
 
     The prefix are the first n - ceil(similarity n) + 1 of its n shingles, and their places, in one order for all texts.
     Two sets of that similarity share at least ceil(similarity n) shingles of either, so the first one they share is among
     these in both. Any order will do; by hash, with frequent shingles last, few texts share a shingle. Of copies read by one
-    task the first alone gives bits and prefix.
+    task the first alone gives bits, fp and prefix.
     """
     by_hash = np.argsort(hot)
     shared = rows.sparkSession.sparkContext.broadcast((hot[by_hash], by_hash + 1))
     kind = rows.schema[id_col].dataType.simpleString()
-    names = ["__row", "id", "key", "mark", "n", "bits", "token", "pos"]
+    names = ["__row", "id", "key", "mark", "n", "bits", "fp", "token", "pos"]
 
     def run(batches):
         known, rank = shared.value
         met: set[str] = set()
         for b in batches:
             ids = b.column("id").type
-            key, size, bits, token, mark, long, pos = [], [], [], [], [], [], []
+            key, size, bits, fp, token, mark, long, pos = [], [], [], [], [], [], [], []
             for t in b.column("__text").to_pylist():
                 k = _mark(t)
                 key.append(k)
                 blocks = [] if k in met else list(shingle_hashes(t, words))
                 met.add(k)
                 if not blocks:
-                    size.append(0), bits.append(None)
+                    size.append(0), bits.append(None), fp.append(None)
                     continue
+                fp.append(signed(fold(blocks)))
                 h = np.unique(np.concatenate(blocks))
                 n = len(h)
                 size.append(n), bits.append(parity(h))
@@ -375,17 +389,17 @@ def sketches(rows: DataFrame, hot: np.ndarray, words: int, similarity: float, id
                 token.append(h[:m].view(np.int64))
                 mark.append(_number(k)), long.append(n), pos.append(m)
             rest = [pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int32())]
-            cols = [b.column("__row"), b.column("id"), pa.array(key, pa.string()), pa.array(list(map(_number, key)), pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary())]
+            cols = [b.column("__row"), b.column("id"), pa.array(key, pa.string()), pa.array(list(map(_number, key)), pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(fp, pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *rest], names=names)
             if token:
                 cols = [np.repeat(np.array(mark, dtype=np.int64), pos), np.repeat(np.array(long, dtype=np.int32), pos), np.concatenate(token), np.concatenate([np.arange(m, dtype=np.int32) for m in pos])]
                 for at in range(0, len(cols[0]), HELD):
                     mk, n, tk, ps = (pa.array(c[at : at + HELD]) for c in cols)
-                    none = [pa.nulls(len(mk), x) for x in (pa.int64(), ids, pa.string(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*none[:3], mk, n, none[3], tk, ps], names=names)
+                    none = [pa.nulls(len(mk), x) for x in (pa.int64(), ids, pa.string(), pa.binary(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*none[:3], mk, n, *none[3:], tk, ps], names=names)
 
     src = rows.select("__row", F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("__text"))
-    return src.mapInArrow(common.frugal(run), f"__row long, id {kind}, key string, mark long, n int, bits binary, token long, pos int")
+    return src.mapInArrow(common.frugal(run), f"__row long, id {kind}, key string, mark long, n int, bits binary, fp long, token long, pos int")
 
 
 def _groups(batches, keys: tuple[str, ...], names: tuple[str, ...]):
@@ -486,6 +500,19 @@ def across(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return laid.mapInArrow(common.frugal(run), "u long, v long").distinct()
 
 
+def alike(nodes: DataFrame, k: int) -> DataFrame:
+    """u, v: pairs of nodes (node, fp) from the Gray-order index that connect all whose fingerprints lie within k bits, u < v.
+
+    Nodes of one fingerprint are each paired with the least of them, which stands for the fingerprint in the index.
+    """
+    some = nodes.filter("fp is not null").select("node", "fp")
+    lead = common.cut(some.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    same = some.join(lead, "fp").filter("node != lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    out = common.cut(same.unionByName(links(lead.select("fp", F.col("lead").alias("id")), k, own=True)), "alike")
+    common.drop(lead)
+    return out
+
+
 FAMILY = 128  # nodes of a candidate family in one block
 
 
@@ -547,14 +574,16 @@ def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, t
     return laid.mapInArrow(common.frugal(run), "u long, v long")
 
 
-def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least id (rows without an id last).
 
     Rows are linked when their sets of `words`-word shingles have at least that Jaccard similarity; groups are transitive.
-    Candidates are all pairs that a prefix filter over the shingles themselves leaves (sketches()), so none is missed, whatever
-    the edit; pairs whose fingerprints (parity bitmaps of the shingle sets) differ in more bits than the similarity allows fall
-    away, which loses none, and each other one is verified exactly. First only neighbours by size under each shared shingle are verified; pairs across
-    the groups found so far follow, so a dense group is not expanded into all of its pairs.
+    First the SimHash fingerprints of the same shingles are searched in the Gray-order hierarchical index (links()), and what it
+    finds within k bits is verified exactly. Fingerprints of similar sets may lie further apart, so the rest is taken from a
+    prefix filter over the shingles themselves (sketches()), between the groups found so far: none is missed, whatever the edit.
+    Pairs whose parity bitmaps differ in more bits than the similarity allows fall away, which loses none, and each other one is
+    verified exactly. Of the rest, neighbours by size under each shared shingle are verified before all other pairs across
+    groups, so a dense group is not expanded into all of its pairs.
     Texts without a word are copies of each other. Repeated rows count as copies. All columns are kept.
     """
     common.ship(docs.sparkSession)
@@ -563,28 +592,33 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     made = common.cut(sketches(rows, hot_shingles, words, similarity, id_col, text_col), "sketch")
     flat = made.filter("key is not null")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row"))
-    nodes = flat.groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("mark").alias("mark"), F.max(F.struct("n", "bits")).alias("set"))
-    nodes = common.cut(nodes.select("key", "rep", "n", "mark", F.col("set.n").alias("size"), "set.bits", F.col("rep.__row").alias("node")), "sketch-nodes")
+    nodes = flat.groupBy("key").agg(first.alias("rep"), F.count(F.lit(1)).alias("n"), F.first("mark").alias("mark"), F.max(F.struct("n", "bits", "fp")).alias("set"))
+    nodes = common.cut(nodes.select("key", "rep", "n", "mark", F.col("set.n").alias("size"), "set.bits", "set.fp", F.col("rep.__row").alias("node")), "sketch-nodes")
+
+    def tagged(found: DataFrame) -> DataFrame:
+        return nodes.select("node", "mark").join(components(found), "node", "left").select("node", "mark", F.coalesce("root", "node").alias("tag"))
+
+    index = alike(nodes, k)
+    found = common.cut(verified(rows, near_bits(index, nodes, similarity), words, similarity, text_col), "verified")
+    tags = common.cut(tagged(found), "tags")
     entries = common.cut(sharing(made.filter("token is not null").select("token", "mark", "n", "pos"), similarity), "sharing")
-    named = lambda c: nodes.select(F.col("mark").alias(f"m{c}"), F.col("node").alias(c))
+    named = lambda c: tags.select(F.col("mark").alias(f"m{c}"), F.col("node").alias(c), F.col("tag").alias(f"t{c}"))
     near = entries.filter("prev is not null").select(F.col("prev").alias("mu"), F.col("mark").alias("mv")).distinct()
-    near = near.join(named("u"), "mu").join(named("v"), "mv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    near = common.cut(near_bits(near.distinct(), nodes, similarity), "pairs")
-    found = common.cut(verified(rows, near, words, similarity, text_col), "verified")
-    tags = nodes.select("node", "mark").join(components(found), "node", "left").select("node", "mark", F.coalesce("root", "node").alias("tag"))
-    rest = across(entries.join(tags, "mark").select("token", "node", "n", "pos", "tag"), nodes, similarity)
-    rest = common.cut(near_bits(rest.join(near, ["u", "v"], "left_anti"), nodes, similarity), "pairs")
+    near = near.join(named("u"), "mu").join(named("v"), "mv").filter("tu != tv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    near = common.cut(near_bits(near.distinct().join(index, ["u", "v"], "left_anti"), nodes, similarity), "pairs")
+    found = found.unionByName(common.cut(verified(rows, near, words, similarity, text_col), "verified"))
+    rest = across(entries.join(tagged(found), "mark").select("token", "node", "n", "pos", "tag"), nodes, similarity)
+    rest = common.cut(near_bits(rest.join(near.unionByName(index), ["u", "v"], "left_anti"), nodes, similarity), "pairs")
     common.drop(entries)
     found = found.unionByName(common.cut(verified(rows, rest, words, similarity, text_col), "verified"))
-    tags = nodes.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("tag"))
-    group = nodes.join(tags, "node").select("key", "rep", "tag", "n")
+    group = nodes.join(tagged(found).drop("mark"), "node").select("key", "rep", "tag", "n")
     best = group.groupBy("tag").agg(F.min("rep").alias("best"))
     keep = common.cut(group.join(best, "tag").select("key", F.col("best.__row").alias("keep"), "n"), "keep")
     total = keep.agg(F.sum("n")).first()[0] or 0
     hot = [r["key"] for r in keep.filter((F.col("n") > total / 1000) & (F.col("n") > 20_000)).select("key").collect()]  # under 1000
     gone = common.salted_join(flat.select("key", "__row"), keep.select("key", "keep"), "key", hot, "inner").filter(F.col("__row") != F.col("keep"))
     gone = common.cut(gone.select("__row"), "gone")
-    for done in (made, nodes, near, rest, keep):
+    for done in (made, nodes, index, tags, near, rest, keep):
         common.drop(done)
     marked = sieve(rows, gone)
     doubtful = marked.filter("__maybe").join(gone, "__row", "left_anti")

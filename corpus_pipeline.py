@@ -21,7 +21,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8).
+
+    SimHash fingerprints are searched in the Gray-order index, then an exact prefix filter gives the pairs beyond its bits.
+    """
     return simhash.dedup(docs, words=5, similarity=0.8)
 
 

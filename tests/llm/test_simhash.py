@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import simhash as S
-from cairn.llm.components import components, forest
+from cairn.llm.components import components, forest, tree
 
 
 def slow_fp(text, words=4):
@@ -162,3 +162,55 @@ def test_dedup_odd(spark, docs_of, odd):
     got = S.dedup(docs_of(odd, ids=[5, 6, 7, None, 4, 4, 8, 9])).collect()
     assert sorted((r.doc_id for r in got), key=lambda x: (x is None, x)) == [4, 5, 8, 9, None]
     assert S.dedup(docs_of([])).count() == 0
+
+
+def test_dedup_takes_links_from_the_fingerprint_index_first(spark, docs_of, monkeypatch):
+    texts = [*texts_of(90, 9), "a b", "same " * 30, "same " * 40, None, " "]
+    ids, tried, ok, searched = {}, [], [], []
+    verified, links = S.verified, S.links
+
+    def spy(rows, pairs, *a):
+        ids.update({r["__row"]: r.doc_id for r in rows.select("__row", "doc_id").collect()})
+        out = verified(rows, pairs, *a)
+        for to, df in ((tried, pairs), (ok, out)):
+            to.append({tuple(sorted((ids[r.u], ids[r.v]))) for r in df.collect()})
+        return out
+
+    monkeypatch.setattr(S, "verified", spy)
+    monkeypatch.setattr(S, "links", lambda *a, **k: searched.append(1) or links(*a, **k))
+    kept = {r.doc_id for r in S.dedup(docs_of(texts)).collect()}
+    fps = [slow_fp(t, 5) for t in texts]
+    within = lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4
+    full = [i for i in range(len(texts)) if (texts[i] or "").split() and texts[i] not in texts[:i]]
+    assert searched and tried[0] and all(within(a, b) for a, b in tried[0])
+    linked = groups(full, lambda a, b: within(a, b) and jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(linked.values())) < len(full) and groups(full, lambda a, b: (a, b) in ok[0]) == linked
+    for pairs, before in ((tried[1], ok[0]), (tried[2], ok[0] | ok[1])):  # the rest lies between the groups found so far
+        so_far = groups(full, lambda a, b: (a, b) in before)  # noqa: B023
+        assert all(so_far[a] != so_far[b] for a, b in pairs)
+    want = groups(full, lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert ok[1] | ok[2] and kept == {i for i, r in want.items() if i == r} | {len(texts) - 2}
+
+
+def test_index_pairs_connect_what_fingerprints_connect(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_BUCKET", 10)
+    rng = np.random.default_rng(8)
+    fps = [int(x) for x in rng.integers(0, 1 << 11, 70)] + [3, 3, 3, -1, None]
+    got = {(r.u, r.v) for r in S.alike(spark.createDataFrame(list(enumerate(fps)), "node long, fp long"), 2).collect()}
+    near = lambda a, b: None not in (fps[a], fps[b]) and bin((fps[a] ^ fps[b]) % 2**64).count("1") <= 2
+    ids = range(len(fps))
+    assert all(a < b and near(a, b) for a, b in got)
+    assert groups(ids, lambda a, b: (a, b) in got) == groups(ids, near)
+
+
+def test_tree_is_a_least_spanning_forest():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = rng.integers(0, 30, (2, 60))
+        par, want = list(range(30)), []
+        for e, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            if par[x] != par[y]:
+                want.append(e)
+                par = [par[y] if p == par[x] else p for p in par]
+        assert tree(a, b).tolist() == want
+    assert len(tree(a[:0], b[:0])) == 0
