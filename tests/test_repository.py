@@ -121,3 +121,63 @@ def test_large_components_move_together(spark, monkeypatch):
         return sum(lab[a] == lab[b] for a, b in pairs) / m - sum((t / (2 * m)) ** 2 for t in tot.values())
 
     assert set(got) == set(want) and modularity(got) >= 0.95 * modularity(want)
+
+
+def _local_moving(pairs, passes):
+    """Local moving node by node, as the rule says: id -> least member."""
+    order = list(dict.fromkeys(x for p in pairs for x in p))
+    index = {x: i for i, x in enumerate(order)}
+    near = [{} for _ in order]
+    for a, b in pairs:
+        i, j = index[a], index[b]
+        if i != j:
+            near[i][j] = near[i].get(j, 0.0) + 1
+            near[j][i] = near[j].get(i, 0.0) + 1
+    deg = [sum(x.values()) for x in near]
+    com, tot, m2 = list(range(len(order))), deg[:], sum(deg)
+    for _ in range(passes):
+        moved = False
+        for i, d in enumerate(deg):
+            own, link = com[i], {}
+            tot[own] -= d
+            for j, w in near[i].items():
+                link[com[j]] = link.get(com[j], 0.0) + w
+            best, gain = own, link.get(own, 0.0) - (tot[own] * d / m2 if m2 else 0.0)
+            for c in sorted(link):
+                g = link[c] - tot[c] * d / m2
+                if g > gain + 1e-12 or (abs(g - gain) <= 1e-12 and c < best):
+                    best, gain = c, g
+            com[i] = best
+            tot[best] += d
+            moved |= best != own
+        if not moved:
+            break
+    return {x: min(y for y in order if com[index[y]] == com[index[x]]) for x in order}
+
+
+def _graph(seed, groups, n, links):
+    import random
+
+    r = random.Random(seed)
+    return [(g * n + r.randrange(n), g * n + r.randrange(n)) for g in range(groups) for _ in range(links)]
+
+
+def test_communities_step_over_blocks_without_shuffles(spark, monkeypatch):
+    pairs = _graph(3, 3, 40, 130) + [(500, 500)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    comp = {x.id: x.component for x in graph.components(e).collect()}
+    want = {}
+    for c in set(comp.values()):
+        want |= _local_moving(sorted(p for p in pairs if comp[p[0]] == c), 20)
+    assert {x.id: x.label for x in graph.communities(e).collect()} == want
+    as_text = spark.createDataFrame([(f"{a:04}", f"{b:04}") for a, b in pairs], "src string, dst string")
+    assert {int(x.id): int(x.label) for x in graph.communities(as_text).collect()} == want
+    monkeypatch.setattr(graph.dense, "LINKS", 16)  # many blocks
+    monkeypatch.setattr(graph, "MAX_COMPONENT_EDGES", 10)
+    monkeypatch.setattr(graph, "moved_together", lambda *_: 1 / 0)
+    got = {x.id: x.label for x in graph.communities(e, 2).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "MAX_COMPONENT_EDGES", 10)
+    monkeypatch.setattr(graph.dense, "MAX_NODES", 0)  # by joins
+    assert {x.id: x.label for x in graph.communities(e, 2).collect()} == got
+    assert {x.id: x.component for x in graph.components(e).collect()} == comp
