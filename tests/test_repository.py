@@ -181,3 +181,16 @@ def test_communities_step_over_blocks_without_shuffles(spark, monkeypatch):
     monkeypatch.setattr(graph.dense, "MAX_NODES", 0)  # by joins
     assert {x.id: x.label for x in graph.communities(e, 2).collect()} == got
     assert {x.id: x.component for x in graph.components(e).collect()} == comp
+
+
+def test_pairs_of_a_frequent_key_are_spread(spark, monkeypatch):
+    from cairn.operators import codegraph
+
+    rows = [(i, "x" if i % 3 else "y") for i in [*range(200), 7]]
+    df = spark.createDataFrame(rows, "id long, k string")
+    monkeypatch.setattr(codegraph, "BLOCK", 16)
+    got = codegraph.ordered_pairs(df, "id", "k")
+    want = sorted((a, b) for a, k in rows for b, m in rows if k == m and a < b)
+    assert sorted((r.id, r.b_id) for r in got.collect()) == want
+    most = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert most < len(want) / 4  # one task held them all before
