@@ -194,3 +194,30 @@ def test_pairs_of_a_frequent_key_are_spread(spark, monkeypatch):
     assert sorted((r.id, r.b_id) for r in got.collect()) == want
     most = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
     assert most < len(want) / 4  # one task held them all before
+
+
+def test_chunkers_take_texts_in_small_batches(spark):
+    from cairn.operators import ingest
+
+    old = spark.conf.get(ingest.BATCH, None)
+    spark.conf.unset(ingest.BATCH)
+    df = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("fn a() {}\nx\n"), 5000).alias("text"))
+    assert ingest.chunk(df, "doc_id", "text", "code").count() == 400 * 5000
+    assert int(spark.conf.get(ingest.BATCH)) <= 8 << 20  # 10,000 texts at once before
+    spark.conf.set(ingest.BATCH, "1000000") if old is None else spark.conf.set(ingest.BATCH, old)
+    keep = spark.conf.get(ingest.BATCH)
+    ingest.chunk(df, "doc_id", "text", "code")
+    assert spark.conf.get(ingest.BATCH) == keep
+    if old is None:
+        spark.conf.unset(ingest.BATCH)
+
+
+def test_paths_and_ranks_over_arrays_equal_the_joins(spark, monkeypatch):
+    e = spark.createDataFrame(_graph(5, 2, 60, 90) + [(900, 901), (901, 900)], "src long, dst long")
+    calls = [lambda: graph.pagerank(e, rounds=20, tol=1e-6, seeds=[1, 950]), lambda: graph.farthest_path(e, 3, 6), lambda: graph.farthest_path(e, 900, 6), lambda: graph.shortest_path(e, 3, 70)]
+    rows = lambda f: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f().collect())
+    with monkeypatch.context() as m:
+        m.setattr(graph, "reach", lambda *_: 1 / 0)  # no joins in the rounds
+        got = [rows(f) for f in calls]
+    monkeypatch.setattr(graph.dense, "MAX_NODES", 0)
+    assert got == [rows(f) for f in calls] and got[3] == [] and got[1]
