@@ -221,3 +221,13 @@ def test_paths_and_ranks_over_arrays_equal_the_joins(spark, monkeypatch):
         got = [rows(f) for f in calls]
     monkeypatch.setattr(graph.dense, "MAX_NODES", 0)
     assert got == [rows(f) for f in calls] and got[3] == [] and got[1]
+
+
+def test_betweenness_by_components_equals_one_search_a_source(spark, monkeypatch):
+    e = spark.createDataFrame([*_graph(7, 2, 30, 70), (3, 4), (3, 4), (500, 500)], "src long, dst long")
+    get = lambda: {x.id: round(x.score, 8) for x in graph.betweenness(e).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(graph.dense, "MAX_NODES", 0)
+        want = get()
+    monkeypatch.setattr(graph, "MAX_ADJACENCY_EDGES", 10)  # refused before
+    assert get() == want
